@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -198,17 +199,13 @@ def bullpen(rows: DataFrame, width: int = 10) -> DataFrame:
 BULLPEN_DECAY = {"bp3": (0.65, 0.45), "bp7": (0.88, 0.20)}
 
 
-def bullpen_decay(rows: DataFrame, depth: int = 250) -> DataFrame:
-    """s <- carry * s + gain * max(0, ga - 3), truncated where the carry has fallen below 1e-12."""
+def bullpen_decay(rows: DataFrame) -> DataFrame:
+    """s <- carry * s + gain * max(0, ga - 3), written as a decayed sum of earlier loads."""
     load = F.greatest(F.col("ga") - 3, F.lit(0)).cast("double")
-    line = Timeline(rows.withColumn("_load", load), TEAM, ORDER, eligible="eligible")
-    df = line.trailing(depth, lambda f: {"_hist": F.collect_list("_load").over(f(depth))})
-    hist = F.coalesce(F.col("_hist"), F.array().cast("array<double>"))
-    out = {
-        n: F.aggregate(hist, F.lit(0.0), lambda s, x, c=carry, g=gain: s * F.lit(c) + x * F.lit(g))
-        for n, (carry, gain) in BULLPEN_DECAY.items()
-    }
-    return df.withColumns(out).select(*rows.columns, *out)
+    df, line = rows, Timeline(rows, TEAM, ORDER, eligible="eligible")
+    for name, (carry, gain) in BULLPEN_DECAY.items():
+        df = line.again(df).decayed({name: load * gain}, -1.0 / math.log(carry), mean=False)
+    return df.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in BULLPEN_DECAY})
 
 
 def head_to_head(games: DataFrame, meetings: int = 8) -> DataFrame:
@@ -289,40 +286,39 @@ STARTER_PRIOR = {
     "recent_era_sd": 0.0, "recent_k9_sd": 0.0, "recent_pitches_sd": 0.0,
 }
 STARTER_METRICS = ("era", "whip", "k9", "bb9", "hr9", "fip", "pitches", "ip", "k_rate", "bb_rate")
-# exp(-600/18) is about 3e-15: older lines no longer change the weighted mean.
-STARTER_DEPTH = 600
 
 
 def starter_profiles(lines: DataFrame, key: Sequence[str] = ("league", "pitcher"), scale: float = 18.0) -> DataFrame:
     """Decayed means, last-five means and deviations, last-eight slopes of a pitcher's earlier lines."""
-    metrics = [m for m in STARTER_METRICS if m in lines.columns]
-    line = Timeline(lines, list(key), ORDER, eligible="eligible" if "eligible" in lines.columns else None)
-    counted = line.running({"_starts": F.lit(1)})
-    line = Timeline(counted, list(key), ORDER, eligible=line.eligible)
-    packed = F.struct(*[F.col(m).cast("double").alias(m) for m in metrics])
-    df = line.trailing(STARTER_DEPTH, lambda f: {"_hist": F.collect_list(packed).over(f(STARTER_DEPTH))})
-    empty = F.slice(F.array(packed), 1, 0)
-    df = df.withColumn("_hist", F.coalesce(F.col("_hist"), empty))
-    hist = F.col("_hist")
-    series = lambda m: F.transform(hist, lambda r: r[m])
-    tail = lambda xs, n: F.slice(xs, F.greatest(F.size(xs) - n + 1, F.lit(1)), n)
-    found = lambda xs: F.filter(xs, lambda x: x.isNotNull())
-    out = {"starts": F.col("_starts").cast("double")}
-    for m in ("era", "whip", "k9", "bb9", "hr9", "fip"):
-        if m in metrics:
-            out[m] = prob.decayed_mean(series(m), scale)
-    for m in ("era", "k9", "k_rate", "bb_rate", "pitches", "ip"):
-        if m in metrics:
-            recent = found(tail(series(m), 5))
-            out[f"recent_{m}"] = F.when(F.size(recent) > 0, prob.mean_of(recent))
-            if m in ("era", "k9", "pitches"):
-                out[f"recent_{m}_sd"] = F.when(F.size(recent) > 0, prob.pop_sd(recent))
-    for m in ("era", "k9", "fip"):
-        if m in metrics:
-            xs = tail(found(series(m)), 8)
-            out[f"{m}_slope"] = F.when((F.size(hist) >= 3) & (F.size(xs) >= 3), prob.slope(xs))
-    filled = {f"sp_{n}": F.coalesce(c, F.lit(STARTER_PRIOR.get(n, 0.0))) for n, c in out.items()}
-    return df.withColumns(filled).select(*lines.columns, *filled)
+    have = [m for m in STARTER_METRICS if m in lines.columns]
+    value = lambda m: F.col(m).cast("double")
+    lines = lines if "eligible" in lines.columns else lines.withColumn("eligible", F.lit(True))
+    line = Timeline(lines, key, ORDER, eligible="eligible")
+    decayed = [m for m in ("era", "whip", "k9", "bb9", "hr9", "fip") if m in have]
+    df = line.decayed({f"sp_{m}": value(m) for m in decayed}, scale)
+    recent = [m for m in ("era", "k9", "k_rate", "bb_rate", "pitches", "ip") if m in have]
+    spread = [m for m in ("era", "k9", "pitches") if m in have]
+
+    def last_five(frame):
+        out = {f"sp_recent_{m}": F.avg(value(m)).over(frame(5)) for m in recent}
+        return out | {f"sp_recent_{m}_sd": F.stddev_pop(value(m)).over(frame(5)) for m in spread}
+
+    df = line.again(df).trailing(5, last_five)
+    sloped = [m for m in ("era", "k9", "fip") if m in have]
+    for m in sloped:
+        # The last eight lines that carry the metric, however far back they lie.
+        carried = df.withColumn("_has", F.col("eligible") & value(m).isNotNull())
+        df = line.again(carried, "_has").trailing(8, lambda frame: {f"_{m}_xs": F.collect_list(value(m)).over(frame(8))})
+        df = df.drop("_has")
+    df = line.again(df).running({"_starts": F.lit(1)})
+    out = {"sp_starts": F.col("_starts").cast("double")}
+    for m in sloped:
+        xs = F.col(f"_{m}_xs")
+        out[f"sp_{m}_slope"] = F.when((F.col("_starts") >= 3) & (F.size(xs) >= 3), prob.slope(xs))
+    df = df.withColumns(out)
+    names = [c for c in df.columns if c.startswith("sp_")]
+    filled = {c: F.coalesce(F.col(c), F.lit(STARTER_PRIOR.get(c[3:], 0.0))) for c in names}
+    return df.withColumns(filled).select(*lines.columns, *names)
 
 
 # Neutral batter profile.
@@ -337,7 +333,6 @@ PLAYER_RATES = {
     "lineout_rate": "lineout", "errors_rate": "errors",
 }
 PLAYER_RECENT = ("pa", "iso", "so_rate", "bb_rate", "sb_rate")
-PLAYER_DEPTH = 400  # exp(-400/12) is about 3e-15
 
 
 def batting_rates(df: DataFrame) -> dict[str, Column]:
@@ -355,25 +350,18 @@ def batting_rates(df: DataFrame) -> dict[str, Column]:
 
 def player_profiles(lines: DataFrame, key: Sequence[str] = ("league", "player_id"), scale: float = 12.0) -> DataFrame:
     """Decayed batting rates and last-five means from a player's earlier games."""
+    lines = lines if "eligible" in lines.columns else lines.withColumn("eligible", F.lit(True))
     rates = batting_rates(lines)
-    packed = F.struct(*[c.alias(n) for n, c in rates.items()])
-    base = lines.withColumn("_line", packed)
-    eligible = "eligible" if "eligible" in lines.columns else None
-    counted = Timeline(base, list(key), ORDER, eligible=eligible).running({"_games": F.lit(1)})
-    df = Timeline(counted, list(key), ORDER, eligible=eligible).trailing(
-        PLAYER_DEPTH, lambda f: {"_hist": F.collect_list("_line").over(f(PLAYER_DEPTH))}
+    base = lines.withColumns({f"_g_{n}": c for n, c in rates.items()})
+    line = Timeline(base, key, ORDER, eligible="eligible")
+    df = line.decayed({f"pp_{n}": F.col(f"_g_{n}") for n in rates}, scale)
+    df = line.again(df).trailing(
+        5, lambda frame: {f"pp_recent_{n}": F.avg(f"_g_{n}").over(frame(5)) for n in PLAYER_RECENT}
     )
-    df = df.withColumn("_hist", F.coalesce(F.col("_hist"), F.slice(F.array("_line"), 1, 0)))
-    hist = F.col("_hist")
-    last = F.slice(hist, F.greatest(F.size(hist) - 4, F.lit(1)), 5)
-    out = {n: prob.decayed_mean(F.transform(hist, lambda r, n=n: r[n]), scale) for n in rates}
-    out |= {
-        f"recent_{n}": F.when(F.size(last) > 0, prob.mean_of(F.transform(last, lambda r, n=n: r[n]))) for n in PLAYER_RECENT
-    }
-    prior = {**PLAYER_PRIOR, **{f"recent_{n}": PLAYER_PRIOR[n] for n in PLAYER_RECENT}}
-    filled = {f"pp_{n}": F.coalesce(c, F.lit(prior[n])) for n, c in out.items()}
-    filled["pp_games"] = F.col("_games").cast("double")
-    return df.withColumns(filled).select(*lines.columns, *filled)
+    df = line.again(df).running({"_games": F.lit(1)}).withColumn("pp_games", F.col("_games").cast("double"))
+    prior = {f"pp_{n}": v for n, v in PLAYER_PRIOR.items()} | {f"pp_recent_{n}": PLAYER_PRIOR[n] for n in PLAYER_RECENT}
+    filled = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in prior.items()}
+    return df.withColumns(filled).select(*lines.columns, *filled, "pp_games")
 
 
 def game_differences(rows: DataFrame, names: Sequence[str]) -> DataFrame:

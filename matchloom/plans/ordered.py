@@ -50,14 +50,25 @@ def _prior(spec: WindowSpec) -> WindowSpec:
 class Timeline:
     """Rows of ``df`` grouped by ``keys`` and totally ordered by ``order`` (whose last column is unique)."""
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], eligible: str | None = None):
+    def __init__(
+        self,
+        df: DataFrame,
+        keys: Sequence[str],
+        order: Sequence[str],
+        eligible: str | None = None,
+        sizes: tuple[int, int] | None = None,
+    ):
         self.keys, self.order, self.eligible = list(keys), list(order), eligible
         limit = group_limit(df.sparkSession)
-        biggest, total = largest_group(df, self.keys)
-        self.sliced = biggest > limit
-        self.df = cut_into_slices(df, self.keys, self.order, limit, total) if self.sliced else df
+        self.sizes = sizes or largest_group(df, self.keys)
+        self.sliced = self.sizes[0] > limit
+        self.df = cut_into_slices(df, self.keys, self.order, limit, self.sizes[1]) if self.sliced else df
         self.columns = df.columns
 
+    def again(self, df: DataFrame, eligible: str | None = None) -> Timeline:
+        """The same rows with more columns: group sizes are already known."""
+        return Timeline(df, self.keys, self.order, eligible or self.eligible, self.sizes)
+
     # -- shared pieces -------------------------------------------------------------------------
 
     @property
@@ -210,6 +221,41 @@ class Timeline:
             *self.columns, name
         )
 
+    def decayed(self, values: Mapping[str, Column], scale: float, block: int | None = None, mean: bool = True) -> DataFrame:
+        """Mean (or sum) of the used rows before each row, weighted exp(-age/scale) with age 0 for the latest.
+
+        Prefix sums of x * exp(position/scale) inside blocks of positions, plus what the previous block
+        left over, give the decayed sums in constant work per row; older blocks have weight exp(-block/scale).
+        """
+        block = block or int(100 * scale)
+        if block / scale < 40 or block / scale > 600:
+            raise ValueError("block must lie between 40 and 600 scales")
+        # The slice halo must reach as far back as the weights do.
+        df = self._colocated(self._rows(block))
+        spec = self._spec("_used") if self.eligible else self._spec()
+        df = df.withColumn("_p", F.row_number().over(spec) - 1).withColumn("_b", F.floor(F.col("_p") / block))
+        offset = F.col("_p") - F.col("_b") * block
+        up, down = F.exp(offset / F.lit(scale)), F.exp(-offset / F.lit(scale))
+        by_block = Window.partitionBy(*self._cells, *(["_used"] if self.eligible else []), "_b").orderBy(*self.order)
+        upto = by_block.rowsBetween(Window.unboundedPreceding, 0)
+        parts = {}
+        for n, c in values.items():
+            parts[f"_x_{n}"] = F.sum(F.coalesce(c * up, F.lit(0.0))).over(upto)
+            parts[f"_w_{n}"] = F.sum(F.when(c.isNotNull(), up).otherwise(0.0)).over(upto)
+        df = df.withColumns(parts)
+        ends = F.col("_p") % block == block - 1
+        left = {f"{c}_left": F.last(F.when(ends, F.col(c)), ignorenulls=True).over(_prior(spec)) for c in parts}
+        df = df.withColumns(left)
+        fade = F.exp(F.lit(-(block - 1) / scale)) * F.exp(-(offset + 1) / F.lit(scale))
+        total = lambda c: F.col(c) * down + F.coalesce(F.col(f"{c}_left"), F.lit(0.0)) * fade
+        out = {n: total(f"_x_{n}") for n in values}
+        if mean:
+            out = {n: c / F.nullif(total(f"_w_{n}"), F.lit(0.0)) for n, c in out.items()}
+        if not self.eligible:
+            df = df.withColumns({f"_m_{n}": c for n, c in out.items()})
+            out = {n: F.lag(f"_m_{n}", 1).over(spec) for n in values}
+        return self._finish(self._expose(df, out), list(out))
+
     def last_seen(self, values: Mapping[str, Column]) -> DataFrame:
         """Values of the last used row strictly before each row."""
         return self.trailing(1, lambda frame: {n: F.last(c).over(frame(1)) for n, c in values.items()})
