@@ -442,12 +442,13 @@ def zero_filled_pivot(df: DataFrame, key: str, column: str, values: Sequence[str
 def weaknesses(summary: DataFrame, key: str = "league", n: int = 20) -> DataFrame:
     """Improvement priorities per league and objective, largest first."""
     pos = lambda c: F.greatest(c, F.lit(0.0))
-    rows = F.array(
-        F.struct(F.lit("win").alias("objective"), (pos(F.lit(0.65) - F.col("accuracy")) + pos(F.col("logloss") - 0.67)).alias("priority")),
-        F.struct(F.lit("score"), pos(F.col("score_mae") - 2.0) * 0.35),
-        F.struct(F.lit("low_high"), pos(F.lit(0.68) - F.col("low_high_accuracy"))),
-        F.struct(F.lit("calibration"), pos(F.col("brier") - 0.25)),
-    )
+    parts = {
+        "win": pos(F.lit(0.65) - F.col("accuracy")) + pos(F.col("logloss") - 0.67),
+        "score": pos(F.col("score_mae") - 2.0) * 0.35,
+        "low_high": pos(F.lit(0.68) - F.col("low_high_accuracy")),
+        "calibration": pos(F.col("brier") - 0.25),
+    }
+    rows = F.array(*[F.struct(F.lit(n).alias("objective"), c.alias("priority")) for n, c in parts.items()])
     out = summary.select(key, F.explode(rows).alias("r")).select(key, "r.objective", "r.priority")
     return out.orderBy(F.col("priority").desc(), key, "objective").limit(n)
 

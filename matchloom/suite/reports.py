@@ -232,12 +232,12 @@ def _quality_sql():
     nums = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"]
     q = " UNION ALL ".join(
         f"""SELECT CASE WHEN max(n) >= 20 AND max(q3 - q1) > 0 AND count(*) FILTER (WHERE v < q1 - 5 * (q3 - q1) OR v > q3 + 5 * (q3 - q1)) / max(n) > 0.1 THEN 1 ELSE 0 END AS f
-        FROM (SELECT {c}::DOUBLE AS v FROM lineitem), (SELECT list_sort(list({c}::DOUBLE)) AS xs FROM lineitem) l,
-        LATERAL (SELECT len(xs) AS n, xs[len(xs) // 4 + 1] AS q1, xs[3 * len(xs) // 4 + 1] AS q3)""" for c in nums
+        FROM (SELECT v, n, max(CASE WHEN rn = n // 4 + 1 THEN v END) OVER () AS q1, max(CASE WHEN rn = 3 * n // 4 + 1 THEN v END) OVER () AS q3
+              FROM (SELECT {c}::DOUBLE AS v, row_number() OVER (ORDER BY {c}) AS rn, count(*) OVER () AS n FROM lineitem))""" for c in nums
     )
     miss = " + ".join(f"CASE WHEN avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) > 0.2 THEN 1 ELSE 0 END" for c in cols)
     return f"""WITH s AS (SELECT count(*) AS rows, CAST({miss} AS BIGINT) AS sparse_columns FROM lineitem),
-    dd AS (SELECT CAST(COALESCE(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY ALL)),
+    dd AS (SELECT CAST(COALESCE(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY {', '.join(cols)})),
     o AS (SELECT CAST(sum(f) AS BIGINT) AS outlier_columns FROM ({q}))
     SELECT rows, duplicates, sparse_columns, outlier_columns, CASE WHEN duplicates > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM s, dd, o"""
 
