@@ -17,9 +17,9 @@ def poisson_pmf(k: int, lam: Column, floor: float = 1e-6) -> Column:
     return F.exp(-rate + F.lit(float(k)) * F.ln(rate) - F.lit(_ln_factorial(k)))
 
 
-def poisson_cells(lam: Column, top: int) -> Column:
-    """Array of P(0..top)."""
-    return F.array(*[poisson_pmf(k, lam) for k in range(top + 1)])
+def poisson_pmfs(lam: Column, top: int, floor: float = 1e-6) -> list[Column]:
+    """P(0), ..., P(top)."""
+    return [poisson_pmf(k, lam, floor) for k in range(top + 1)]
 
 
 def poisson_cdf(lam: Column, upto: int) -> Column:
@@ -99,72 +99,6 @@ def nb_cdf(mu: Column, size: Column, upto: int = 6) -> Column:
     return F.least(F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x), F.lit(1.0))
 
 
-def score_table(lam_home: Column, lam_away: Column, top: int) -> Column:
-    """array<struct(h, a, p)> of independent cells 0..top on each side."""
-    width = top + 1
-    ph, pa = poisson_cells(lam_home, top), poisson_cells(lam_away, top)
-    pairs = F.arrays_zip(ph.alias("x"), F.sequence(F.lit(0), F.lit(top)).alias("h"))
-    away = F.arrays_zip(pa.alias("x"), F.sequence(F.lit(0), F.lit(top)).alias("a"))
-    return F.flatten(
-        F.transform(
-            pairs,
-            lambda l: F.transform(
-                away, lambda r: F.struct(l["h"].alias("h"), r["a"].alias("a"), (l["x"] * r["x"]).alias("p"))
-            ),
-        )
-    ) if width else F.array()
-
-
-def ranked(cells: Column, n: int, other: Column | None = None) -> Column:
-    """The n likeliest of array<struct(h, a, p)>; ties by (h, a), an OTHER event of mass ``other`` last.
-
-    Probabilities are compared after rounding to 12 places so that algebraic ties stay ties.
-    """
-    keyed = F.transform(
-        cells,
-        lambda c: F.struct(
-            (-F.round(c["p"], 12)).alias("k"), F.lit(0).alias("o"), c["h"].alias("h"), c["a"].alias("a"), c["p"].alias("p")
-        ),
-    )
-    if other is not None:
-        extra = F.struct((-F.round(other, 12)).alias("k"), F.lit(1).alias("o"), F.lit(999).alias("h"), F.lit(999).alias("a"), other.alias("p"))
-        keyed = F.concat(keyed, F.array(extra))
-    label = lambda c: F.when(c["o"] == 1, F.lit("OTHER")).otherwise(F.concat_ws("-", c["h"].cast("string"), c["a"].cast("string")))
-    return F.transform(
-        F.slice(F.array_sort(keyed), 1, n), lambda c: F.struct(label(c).alias("label"), c["p"].alias("p"))
-    )
-
-
-def mass(cells: Column) -> Column:
-    return F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + c["p"])
-
-
-def renormalised(cells: Column) -> Column:
-    z = mass(cells)
-    return F.transform(cells, lambda c: F.struct(c["h"].alias("h"), c["a"].alias("a"), (c["p"] / z).alias("p")))
-
-
-def bivariate_cells(mu_home: Column, mu_away: Column, shared: Column, top: int) -> Column:
-    """Cells of the bivariate Poisson (h = X+Z, a = Y+Z) by convolving three Poisson vectors."""
-    mh, ma = F.greatest(mu_home, F.lit(1e-9)), F.greatest(mu_away, F.lit(1e-9))
-    z = F.least(F.greatest(shared, F.lit(0.0)), mh, ma)
-    tiny = 1e-300
-    px = F.array(*[poisson_pmf(k, mh - z, tiny) for k in range(top + 1)])
-    py = F.array(*[poisson_pmf(k, ma - z, tiny) for k in range(top + 1)])
-    pz = F.array(*[poisson_pmf(k, z, tiny) for k in range(top + 1)])
-    side = F.sequence(F.lit(0), F.lit(top))
-
-    def cell(h: Column, a: Column) -> Column:
-        p = F.aggregate(
-            F.sequence(F.lit(0), F.least(h, a)),
-            F.lit(0.0),
-            lambda acc, k: acc + F.element_at(px, h - k + 1) * F.element_at(py, a - k + 1) * F.element_at(pz, k + 1),
-        )
-        return F.struct(h.alias("h"), a.alias("a"), p.alias("p"))
-
-    return F.flatten(F.transform(side, lambda h: F.transform(side, lambda a: cell(h, a))))
-
-
 def low_bivariate(mu_home: Column, mu_away: Column, shared: Column, threshold: int = 6) -> Column:
     """P(total <= threshold): the total is X + Y + 2Z with independent Poisson parts."""
     mh, ma = F.greatest(mu_home, F.lit(1e-9)), F.greatest(mu_away, F.lit(1e-9))

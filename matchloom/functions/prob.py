@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: higher-order functions do not hoist what they repeat."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -15,8 +20,7 @@ def vector(*cols: Column | str) -> Column:
 
 
 def scale_to_one(xs: Column) -> Column:
-    mass = total(xs)
-    return F.transform(xs, lambda x: x / mass)
+    return let(xs, lambda v: let(total(v), lambda mass: F.transform(v, lambda x: x / mass)))
 
 
 def normalise(p: Column, floor: float = 1e-12) -> Column:
@@ -26,22 +30,21 @@ def normalise(p: Column, floor: float = 1e-12) -> Column:
 
 def clip_prob(p: Column) -> Column:
     """Non-finite entries become 1/k, entries are floored at 1e-9, mass becomes one."""
-    k = F.size(p)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    safe = F.transform(p, lambda x: F.when(bad(x), F.lit(1.0) / k).otherwise(x))
-    return scale_to_one(F.transform(safe, lambda x: F.greatest(x, F.lit(1e-9))))
+    safe = lambda v: F.transform(v, lambda x: F.greatest(F.when(bad(x), F.lit(1.0) / F.size(v)).otherwise(x), F.lit(1e-9)))
+    return scale_to_one(let(p, safe))
 
 
 def temper(p: Column, temperature: Column | float, floor: float = 1e-12) -> Column:
     """Power scaling p^(1/T) of a normalised vector."""
     t = F.lit(float(temperature)) if isinstance(temperature, (int, float)) else temperature
     t = F.least(F.greatest(t, F.lit(0.1)), F.lit(10.0))
-    return scale_to_one(F.transform(normalise(p, floor), lambda x: F.pow(x, F.lit(1.0) / t)))
+    return scale_to_one(let(F.lit(1.0) / t, lambda power: F.transform(normalise(p, floor), lambda x: F.pow(x, power))))
 
 
 def softmax(z: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(z)
-    return scale_to_one(F.transform(z, lambda x: F.exp(F.greatest((x - top) / F.lit(temperature), F.lit(-50.0)))))
+    shifted = lambda v, best: F.transform(v, lambda x: F.exp(F.greatest((x - best) / F.lit(temperature), F.lit(-50.0))))
+    return scale_to_one(let(z, lambda v: let(F.array_max(v), lambda best: shifted(v, best))))
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:
@@ -70,7 +73,7 @@ def top(p: Column, rank: int = 1) -> Column:
 
 
 def top_gap(p: Column) -> Column:
-    return top(p, 1) - top(p, 2)
+    return let(F.sort_array(p, asc=False), lambda v: F.element_at(v, 1) - F.element_at(v, 2))
 
 
 def top_gap_risk(p: Column, scale: float = 0.25) -> Column:
@@ -79,42 +82,28 @@ def top_gap_risk(p: Column, scale: float = 0.25) -> Column:
 
 def favourite(p: Column) -> Column:
     """0-based index of the first maximum."""
-    return (F.array_position(p, F.array_max(p)) - 1).cast("long")
+    return let(p, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("long"))
 
 
 def mean_of(xs: Column) -> Column:
-    return total(xs) / F.size(xs)
+    return let(xs, lambda v: total(v) / F.size(v))
 
 
 def pop_sd(xs: Column) -> Column:
-    m = mean_of(xs)
-    return F.sqrt(F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / F.size(xs))
-
-
-def disagreement(experts: list[Column]) -> Column:
-    """Mean over classes of the population deviation across expert vectors (arrays of equal length)."""
-    k = F.size(experts[0])
-    return (
-        F.aggregate(
-            F.sequence(F.lit(1), k),
-            F.lit(0.0),
-            lambda acc, i: acc + pop_sd(F.array(*[F.element_at(e, i) for e in experts])),
-        )
-        / k
-    )
+    squares = lambda v, m: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / F.size(v)
+    return F.sqrt(let(xs, lambda v: let(total(v) / F.size(v), lambda m: squares(v, m))))
 
 
-def mix(experts: list[Column], weights: Column) -> Column:
+def disagreement(experts: list[Column], classes: int = 3) -> Column:
+    """Mean over classes of the population deviation across expert vectors."""
+    parts = [pop_sd(F.array(*[e[i] for e in experts])) for i in range(classes)]
+    return sum(parts[1:], start=parts[0]) / classes
+
+
+def mix(experts: list[Column], weights: Column, classes: int = 3) -> Column:
     """Weighted mean of expert vectors, renormalised."""
-    k = F.size(experts[0])
-    w = scale_to_one(weights)
-    mixed = F.transform(
-        F.sequence(F.lit(1), k),
-        lambda i: sum(
-            (w[j] * F.element_at(e, i) for j, e in enumerate(experts)), start=F.lit(0.0)
-        ),
-    )
-    return normalise(mixed)
+    blend = lambda w: F.array(*[sum((w[j] * e[i] for j, e in enumerate(experts)), start=F.lit(0.0)) for i in range(classes)])
+    return normalise(let(scale_to_one(weights), blend))
 
 
 def mix_two(a: Column, b: Column, alpha: Column | float, floor: float = 1e-12) -> Column:
@@ -150,23 +139,12 @@ def shrink_by_risk(p: Column, risk: Column, beta: Column | float) -> Column:
     return temper(p, F.lit(1.0) + clip01(b / F.lit(1.5)) * F.lit(1.5) * clip01(risk))
 
 
-def decayed_mean(values: Column, scale: float, base: float | None = None) -> Column:
-    """Weighted mean of an oldest-first array; the newest element has weight one.
-
-    The decay is exp(-age/scale), or 2^(-age/base) when a half-life is given; null elements are skipped.
-    """
-    n = F.size(values)
-    age = lambda i: (n - 1 - i).cast("double")
-    weight = (lambda i: F.exp(-age(i) / F.lit(scale))) if base is None else (lambda i: F.pow(F.lit(2.0), -age(i) / F.lit(base)))
-    num = total(F.transform(values, lambda x, i: F.coalesce(x * weight(i), F.lit(0.0))))
-    den = total(F.transform(values, lambda x, i: F.when(x.isNull(), 0.0).otherwise(weight(i))))
-    return F.when(den > 0, num / F.nullif(den, F.lit(0.0)))
-
-
 def slope(values: Column) -> Column:
     """Least-squares slope of an array against 0..n-1."""
-    n = F.size(values).cast("double")
-    mid = (n - 1) / 2
-    m = mean_of(values)
-    num = total(F.transform(values, lambda x, i: (i - mid) * (x - m)))
-    return num / F.nullif(n * (n * n - 1) / 12, F.lit(0.0))
+
+    def fit(v: Column, mid: Column, m: Column) -> Column:
+        n = F.size(v).cast("double")
+        num = total(F.transform(v, lambda x, i: (i - mid) * (x - m)))
+        return num / F.nullif(n * (n * n - 1) / 12, F.lit(0.0))
+
+    return let(values, lambda v: let((F.size(v) - 1) / 2, lambda mid: let(total(v) / F.size(v), lambda m: fit(v, mid, m))))

@@ -198,11 +198,8 @@ def percent(c: Column) -> Column:
 
 
 def normalise_events(events: DataFrame) -> DataFrame:
-    """Heterogeneous event rows to one schema: clean ids, UTC time from local time, running row order.
-
-    Row order is a rank within one game, so the window never spans more than a game's events.
-    """
-    from pyspark.sql import Window
+    """Heterogeneous event rows to one schema: clean ids, UTC time from local time, running row order."""
+    from matchloom.plans.ordered import Timeline
 
     gid = F.regexp_replace(F.trim(text.pick(events, ["game_id", "gameid", "gamepk"])), r"\.0$", "")
     when = F.to_utc_timestamp(F.try_to_timestamp(text.pick(events, ["datetime", "date", "game_date"])), "Asia/Tokyo")
@@ -217,8 +214,9 @@ def normalise_events(events: DataFrame) -> DataFrame:
         text.pick(events, ["game_type", "gametype"], "UNKNOWN").alias("game_type"),
         text.number(text.pick(events, ["seqno", "row_order", "seq"])).alias("_seq"),
     ).filter("game_id is not null and home is not null and away is not null and datetime is not null")
-    order = Window.partitionBy("game_id").orderBy(F.col("_seq").asc_nulls_last(), "datetime")
-    return out.withColumn("row_order", (F.row_number().over(order) - 1).cast("long")).drop("_seq")
+    out = out.withColumn("_unordered", F.col("_seq").isNull())
+    ranked = Timeline(out, ["game_id"], ["_unordered", "_seq", "datetime"]).positions("row_order")
+    return ranked.withColumn("row_order", F.col("row_order") - 1).drop("_seq", "_unordered")
 
 
 def season_schedule(raw: DataFrame, year: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import dist, prob, score, text
+from matchloom.operators.scorelines import score_candidates
 from matchloom.plans.ordered import Timeline, values_at_ranks
 
 SIDES = {"top": ("top", "表", "visitor", "away", "先攻"), "bottom": ("bottom", "裏", "home", "後攻")}
@@ -203,9 +204,7 @@ def with_scores(df: DataFrame) -> DataFrame:
     base = vector_of(df).withColumn("p", prob.normalise(F.col("p")))
     lh, la = F.col("lambda_home"), F.col("lambda_away")
     low = dist.low_total(lh, la)
-    cells = dist.score_table(lh, la, 6)
-    base = base.withColumn("_cells", cells)
-    other = F.greatest(F.lit(1.0) - dist.mass(F.col("_cells")), F.lit(0.0))
+    base = score_candidates(base)
     ah, aa = F.col("actual_home_score"), F.col("actual_away_score")
     label = F.when((ah >= 7) | (aa >= 7), "OTHER").otherwise(
         F.concat_ws("-", ah.cast("long").cast("string"), aa.cast("long").cast("string"))
@@ -217,11 +216,10 @@ def with_scores(df: DataFrame) -> DataFrame:
             "brier": prob.brier(F.col("p"), F.col("actual")),
             "high": F.lit(1.0) - low,
             "actual_high": (ah + aa >= 7).cast("double"),
-            "top4": dist.ranked(F.col("_cells"), 4, other),
         }
     ).withColumn(
-        "top4_hit", F.exists(F.col("top4"), lambda c: c["label"] == label).cast("double")
-    ).drop("_cells")
+        "top4_hit", F.exists(F.col("candidates"), lambda c: c["label"] == label).cast("double")
+    )
 
 
 def summary_terms() -> dict[str, Column]:

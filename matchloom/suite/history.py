@@ -11,7 +11,8 @@ from matchloom.sources.adapters import with_views
 
 
 def rounded(df: DataFrame, keys, values, places: int = 6) -> DataFrame:
-    return df.select(*keys, *[F.round(F.col(v).cast("double"), places).alias(v) for v in values])
+    """Values rounded for comparison; the nudge keeps exact halves from falling either way by an ulp."""
+    return df.select(*keys, *[F.round(F.col(v).cast("double") + 1e-9, places).alias(v) for v in values])
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -27,8 +28,8 @@ live AS (SELECT *, row_number() OVER ({w}) AS idx FROM {src} WHERE eligible)
 """
 
 
-def _r(expr: str, name: str) -> str:
-    return f"ROUND(CAST({expr} AS DOUBLE), 6) AS {name}"
+def _r(expr: str, name: str, places: int = 6) -> str:
+    return f"ROUND(CAST({expr} AS DOUBLE) + 1e-9, {places}) AS {name}"
 
 
 # ---- rolling form -----------------------------------------------------------------------------
@@ -337,7 +338,7 @@ def _starter_sql():
     slope = lambda m: (
         f"CASE WHEN len(xs) >= 3 THEN (SELECT regr_slope(v, i) FROM (SELECT unnest({tail(m, 8)}) AS v, generate_subscripts({tail(m, 8)}, 1) AS i)) END"
     )
-    r5 = lambda e, n: f"ROUND(CAST({e} AS DOUBLE), 5) AS {n}"
+    r5 = lambda e, n: _r(e, n, 5)
     return with_views(
         f""", pl AS (SELECT l_orderkey AS game_id, l_suppkey AS pitcher, sum(l_quantity) AS pitches, ROUND(sum(l_discount), 4) * 40 AS era, ROUND(sum(l_tax), 4) * 60 AS k9
           FROM lineitem GROUP BY 1, 2),

@@ -354,7 +354,7 @@ WEAKNESS_SQL = with_views(
       avg(CASE WHEN (high >= 0.5) = (actual_high = 1) THEN 1 ELSE 0 END) AS lh FROM scored GROUP BY league),
     u AS (SELECT league, 'win' AS objective, GREATEST(0.65 - acc, 0) + GREATEST(ll - 0.67, 0) AS x FROM s UNION ALL SELECT league, 'score', GREATEST(mae - 2, 0) * 0.35 FROM s
       UNION ALL SELECT league, 'low_high', GREATEST(0.68 - lh, 0) FROM s UNION ALL SELECT league, 'calibration', GREATEST(br - 0.25, 0) FROM s)
-    SELECT league, objective, ROUND(CAST(x AS DOUBLE), 6) AS priority FROM u ORDER BY x DESC, league, objective LIMIT 20"""
+    SELECT league, objective, ROUND(CAST(x AS DOUBLE) + 1e-9, 6) AS priority FROM u ORDER BY x DESC, league, objective LIMIT 20"""
 )
 
 

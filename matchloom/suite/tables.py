@@ -365,9 +365,12 @@ def lineup_join(spark, d):
     lines = adapters.player_games(spark, d)
     games = adapters.matches(spark, d).select("game_id", "league", "datetime", F.col("training_included").alias("eligible"))
     prof = form.player_profiles(lines.join(games, "game_id"))
-    # The lineup text of a game: its players with a batting order; a game's lineup is small by nature.
-    entry = F.struct(F.col("player_id").cast("string").alias("player_id"), (F.col("player_id") % 9).cast("double").alias("batting_order"))
-    js = lines.groupBy("game_id").agg(F.to_json(F.collect_list(entry)).alias("lineup_json"))
+    # The lineup text of a game: its first twelve players in batting order.
+    ordered = lines.select(
+        "game_id", F.col("player_id").cast("string").alias("player_id"), (F.col("player_id") % 9).cast("double").alias("batting_order")
+    )
+    ordered = Timeline(ordered, ["game_id"], ["batting_order", "player_id"]).positions().filter("pos <= 12")
+    js = ordered.groupBy("game_id").agg(F.to_json(F.collect_list(F.struct("player_id", "batting_order"))).alias("lineup_json"))
     lineup = js.select("game_id", F.lit("home").alias("side"), F.explode(joins.lineup_array(F.col("lineup_json"))).alias("x"))
     lineup = lineup.select("game_id", "side", F.col("x.player_id").cast("long").alias("player_id"))
     out = joins.lineup_features(lineup, prof, ["pp_avg", "pp_obp", "pp_so_rate", "pp_recent_iso"])
@@ -383,7 +386,7 @@ def _lineup_sql():
     pa = f"COALESCE(list_sum(list_transform(xs, lambda r, i: r.pa * {wt})) / list_sum(list_transform(xs, lambda r, i: {wt})), 0)"
     # Profiles are recomputed unrounded for the weights.
     raw = "SELECT s.game_id, s.player_id" + tail
-    raw = raw.replace("ROUND(CAST(", "((").replace(" AS DOUBLE), 6)", "))")
+    raw = raw.replace("ROUND(CAST(", "((").replace(" AS DOUBLE) + 1e-9, 6)", "))")
     ms = ("avg", "obp", "so_rate", "recent_iso")
     w = "GREATEST(pp_pa, 1)"
     out = ", ".join(_r(f"sum(pp_{m} * {w}) / sum({w})", f"lineup_{m}") for m in ms)
