@@ -154,15 +154,16 @@ class Timeline:
     def trailing(self, width: int, build: Callable[[Callable[[int], WindowSpec]], Mapping[str, Column]]) -> DataFrame:
         """Columns over the last n <= width used rows strictly before each row.
 
-        ``build`` receives ``frame(n)``, a window specification covering those rows.
+        ``build`` receives ``frame(n, skip=0)``, a window specification covering those rows without the
+        latest ``skip`` of them.
         """
         df = self._colocated(self._rows(width))
         spec = self._spec("_used") if self.eligible else self._spec()
 
-        def frame(n: int) -> WindowSpec:
+        def frame(n: int, skip: int = 0) -> WindowSpec:
             if n > width:
                 raise ValueError("frame wider than the declared width")
-            return spec.rowsBetween(1 - n, 0) if self.eligible else spec.rowsBetween(-n, -1)
+            return spec.rowsBetween(1 - n, -skip) if self.eligible else spec.rowsBetween(-n, -1 - skip)
 
         built = build(frame)
         return self._finish(self._expose(df, built), list(built))
@@ -221,17 +222,21 @@ class Timeline:
             *self.columns, name
         )
 
-    def decayed(self, values: Mapping[str, Column], scale: float, block: int | None = None, mean: bool = True) -> DataFrame:
+    def decayed(
+        self, values: Mapping[str, Column], scale: float, block: int | None = None, mean: bool = True, widths: Sequence[int] = ()
+    ) -> DataFrame:
         """Mean (or sum) of the used rows before each row, weighted exp(-age/scale) with age 0 for the latest.
 
         Prefix sums of x * exp(position/scale) inside blocks of positions, plus what the previous block
         left over, give the decayed sums in constant work per row; older blocks have weight exp(-block/scale).
+        With ``widths`` only the last w used rows count (columns ``<name>_<w>``): the full decayed sum less
+        the faded one w rows back.
         """
         block = block or int(100 * scale)
         if block / scale < 40 or block / scale > 600:
             raise ValueError("block must lie between 40 and 600 scales")
         # The slice halo must reach as far back as the weights do.
-        df = self._colocated(self._rows(block))
+        df = self._colocated(self._rows(block + max(widths, default=0)))
         spec = self._spec("_used") if self.eligible else self._spec()
         df = df.withColumn("_p", F.row_number().over(spec) - 1).withColumn("_b", F.floor(F.col("_p") / block))
         offset = F.col("_p") - F.col("_b") * block
@@ -247,13 +252,23 @@ class Timeline:
         left = {f"{c}_left": F.last(F.when(ends, F.col(c)), ignorenulls=True).over(_prior(spec)) for c in parts}
         df = df.withColumns(left)
         fade = F.exp(F.lit(-(block - 1) / scale)) * F.exp(-(offset + 1) / F.lit(scale))
-        total = lambda c: F.col(c) * down + F.coalesce(F.col(f"{c}_left"), F.lit(0.0)) * fade
-        out = {n: total(f"_x_{n}") for n in values}
-        if mean:
-            out = {n: c / F.nullif(total(f"_w_{n}"), F.lit(0.0)) for n, c in out.items()}
+        full = {c: F.col(c) * down + F.coalesce(F.col(f"{c}_left"), F.lit(0.0)) * fade for c in parts}
+        df = df.withColumns({f"{c}_d": x for c, x in full.items()})
+
+        def total(c: str, w: int | None) -> Column:
+            whole = F.col(f"{c}_d")
+            return whole if w is None else whole - F.coalesce(F.lag(f"{c}_d", w).over(spec), F.lit(0.0)) * math.exp(-w / scale)
+
+        out = {}
+        for n in values:
+            for w in widths or (None,):
+                num, den = total(f"_x_{n}", w), total(f"_w_{n}", w)
+                name = n if w is None else f"{n}_{w}"
+                # Below 1e-9 of weight nothing but rounding is left of a window without values.
+                out[name] = F.when(den > 1e-9, num / F.nullif(den, F.lit(0.0))) if mean else num
         if not self.eligible:
             df = df.withColumns({f"_m_{n}": c for n, c in out.items()})
-            out = {n: F.lag(f"_m_{n}", 1).over(spec) for n in values}
+            out = {n: F.lag(f"_m_{n}", 1).over(spec) for n in out}
         return self._finish(self._expose(df, out), list(out))
 
     def last_seen(self, values: Mapping[str, Column]) -> DataFrame:

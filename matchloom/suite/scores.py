@@ -230,9 +230,8 @@ def case_risk(spark, d):
         }
     )
     out = scorelines.case_risk(e)
-    return out.select(
-        "game_id", "risk_state", F.size("reasons").cast("long").alias("reasons"), *[F.round(c, 6).alias(c) for c in ("risk_score", "upset_risk_signal", "model_risk", "data_risk", "drift_risk", "situation_risk")]
-    )
+    out = out.withColumn("reasons", F.size("reasons").cast("long"))
+    return rounded(out, ["game_id", "risk_state", "reasons"], ["risk_score", "upset_risk_signal", "model_risk", "data_risk", "drift_risk", "situation_risk"])
 
 
 def _risk_sql():
