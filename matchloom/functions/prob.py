@@ -112,7 +112,8 @@ def mix_two(a: Column, b: Column, alpha: Column | float, floor: float = 1e-12) -
 
 
 def log_loss(p: Column, y: Column, floor: float = 1e-12) -> Column:
-    return -F.ln(F.greatest(F.element_at(p, (y + 1).cast("int")), F.lit(floor)))
+    """-ln p[y]; a missing vector gives null, never a loss."""
+    return F.when(p.isNotNull(), -F.ln(F.greatest(F.element_at(p, (y + 1).cast("int")), F.lit(floor))))
 
 
 def brier(p: Column, y: Column) -> Column:

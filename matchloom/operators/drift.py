@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from matchloom.functions import prob
 from matchloom.plans.ordered import Timeline
@@ -79,7 +80,7 @@ def mmd_scores(recent: np.ndarray, current: np.ndarray) -> np.ndarray:
     return np.clip(1.0 - np.exp(-np.maximum(mmd2, 0.0)), 0.0, 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _mmd(window: pd.Series, current: pd.Series) -> pd.Series:
     out = np.zeros(len(window))
     full = np.flatnonzero([w is not None and len(w) == RECENT for w in window])

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from matchloom.operators import drift, reports
 from matchloom.functions import prob
+from matchloom.plans.durable import spool
 from matchloom.plans.recursion import scan
 
 TINY = 1e-12
@@ -264,7 +265,7 @@ def replay_report(df: DataFrame, routed: DataFrame, keys: Sequence[str] = ("leag
     """Metric bundle of baseline and routed forecasts: all rows, two late windows and high-state slices."""
     keys = list(keys)
     both = df.select(*keys, "game_id", "datetime", "actual", p).join(routed.select("game_id", "routed", "drift", "uncertainty"), "game_id")
-    both = both.withColumn("all_rows", F.lit("all"))
+    both = spool(both, "report")
     parts = [both.withColumn("slice", F.lit("all"))]
     late = drift.late_windows(both, keys)
     parts.append(late.withColumn("slice", F.col("window")).drop("window"))

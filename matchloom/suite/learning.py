@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import prob
 from matchloom.operators import drift, rating, routing
+from matchloom.plans.durable import spool
 from matchloom.sources import adapters
 from matchloom.sources.adapters import with_views
 from matchloom.suite.history import _r, rounded
@@ -119,7 +120,10 @@ def drift_slices(spark, d):
     """Metric bundle of the rows whose output drift reaches the league median, and of the two late windows."""
     from matchloom.operators import reports
 
-    e = drift.output_drift(adapters.experts(spark, d), EXPERTS).withColumns({"p": F.array(*P3), "output_drift": F.round("output_drift", 9)})
+    e = drift.output_drift(adapters.experts(spark, d), EXPERTS).select(
+        "league", "game_id", "datetime", "actual", F.array(*P3).alias("p"), F.round("output_drift", 9).alias("output_drift")
+    )
+    e = spool(e, "drift")  # read by the quantile, the slice and the windows
     high = reports.at_least_quantile(e, "output_drift", 0.5, ["league"]).withColumn("slice", F.lit("high_drift"))
     late = drift.late_windows(e).withColumnRenamed("window", "slice")
     out = reports.metric_bundle(high.unionByName(late), ["league", "slice"])
@@ -167,8 +171,6 @@ def routing_replay(spark, d):
 
 
 def routing_gate(spark, d):
-    from matchloom.plans.durable import spool
-
     e = adapters.experts(spark, d).withColumn("p", F.array(*P3))
     routed = spool(routing.replay(e, EXPERTS), "replay")
     return routing.acceptance_gate(routing.replay_report(e, routed))
