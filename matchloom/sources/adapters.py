@@ -11,9 +11,17 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def matches(spark: SparkSession, folder: str) -> DataFrame:
-    """One game per order; teams are nations, leagues are regions."""
-    orders = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The files of a table as a stream."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/{name}*.parquet")
+
+
+def matches(spark: SparkSession, folder: str, orders: DataFrame | None = None) -> DataFrame:
+    """One game per order (a table or a stream of orders); teams are nations, leagues are regions."""
+    if orders is None:
+        orders = table(spark, folder, "orders")
+    orders = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     customers = table(spark, folder, "customer", "c_custkey", "c_nationkey")
     nations = table(spark, folder, "nation")
     regions = table(spark, folder, "region")
@@ -39,11 +47,11 @@ def matches(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, folder: str) -> DataFrame:
+def predictions(spark: SparkSession, folder: str, orders: DataFrame | None = None) -> DataFrame:
     """A settled three-way forecast per game with expected scores."""
     key = F.col("game_id")
     home, draw = (key % 41 + 20) / F.lit(100.0), (key % 16 + 5) / F.lit(100.0)
-    return matches(spark, folder).select(
+    return matches(spark, folder, orders).select(
         "game_id", "league", "datetime", "game_category", "home", "away", "venue",
         F.when(F.col("home_score") > F.col("away_score"), 0)
         .when(F.col("home_score") == F.col("away_score"), 1).otherwise(2).cast("long").alias("actual"),
@@ -57,10 +65,10 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 EXPERT_MODS = ((37, 18, 13, 7), (29, 25, 11, 9), (43, 15, 17, 4))  # (home mod, home base, draw mod, draw base)
 
 
-def experts(spark: SparkSession, folder: str) -> DataFrame:
+def experts(spark: SparkSession, folder: str, orders: DataFrame | None = None) -> DataFrame:
     """Forecasts plus three expert vectors per game."""
     key = F.col("game_id")
-    df = predictions(spark, folder)
+    df = predictions(spark, folder, orders)
     for j, (hm, hb, dm, db) in enumerate(EXPERT_MODS):
         h, d = (key % hm + hb) / F.lit(100.0), (key % dm + db) / F.lit(100.0)
         df = df.withColumn(f"expert_{j}", F.array(h, d, F.lit(1.0) - h - d))
@@ -73,9 +81,10 @@ def experts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def observations(spark: SparkSession, folder: str, late: bool = True) -> DataFrame:
+def observations(spark: SparkSession, folder: str, late: bool = True, events: DataFrame | None = None) -> DataFrame:
     """Context observations, one per event; a seventh of them arrive after their forecast time."""
-    events = table(spark, folder, "events", "event_id", "ts", "user_id", "event_type", "value")
+    if events is None:
+        events = table(spark, folder, "events", "event_id", "ts", "user_id", "event_type", "value")
     kind = (
         F.when(F.col("event_type") == "view", "STARTER").when(F.col("event_type") == "click", "LINEUP")
         .when(F.col("event_type") == "signup", "WEATHER").when(F.col("event_type") == "purchase", "AVAILABILITY")
