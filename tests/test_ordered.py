@@ -113,7 +113,8 @@ def test_decayed_profiles_match_loop(spark, games, small_groups):
 def test_features_see_only_the_past(spark, games):
     """Changing rows at or after a game never changes earlier feature rows."""
     cut = games.orderBy("datetime", "game_id").limit(90).agg(F.max(F.struct("datetime", "game_id")).alias("m")).first()["m"]
-    later = F.struct("datetime", "game_id") >= F.struct(F.lit(cut["datetime"]), F.lit(cut["game_id"]))
+    at = F.lit(cut["datetime"])
+    later = (F.col("datetime") > at) | ((F.col("datetime") == at) & (F.col("game_id") >= cut["game_id"]))
     changed = games.withColumn("home_score", F.when(later, F.col("home_score") + 5).otherwise(F.col("home_score")))
     early = ~later
 
