@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import prob
-from matchloom.plans.ordered import Timeline, counts_within
+from matchloom.plans.ordered import SLICE, Timeline, group_limit, largest_group
 
 ORDER = ["datetime", "game_id"]
 TEAM = ["league", "team"]
@@ -76,9 +76,9 @@ def rolling_form(rows: DataFrame, widths: Sequence[int] = FORM_WIDTHS, neutral:
 def venue_split(rows: DataFrame, width: int = 10) -> DataFrame:
     """History of the same team on the same side of the fixture: games, points per game, recent goals."""
     keys = [*TEAM, "is_home"]
-    base = Timeline(rows, keys, ORDER, eligible="eligible")
+    base = Timeline(rows, keys, ORDER, eligible="eligible", chain=True)
     recent = base.rolling({"gf": F.col("gf"), "ga": F.col("ga")}, [width])
-    totals = Timeline(recent, keys, ORDER, eligible="eligible").running({"_games": F.lit(1), "_pts": points()})
+    totals = base.again(recent).running({"_games": F.lit(1), "_pts": points()}).drop(SLICE)
     return totals.withColumns(
         {
             "venue_n": F.col("_games").cast("double"),
@@ -130,10 +130,6 @@ def games_last_days(rows: DataFrame, days: Sequence[int] = (3, 7, 14)) -> DataFr
 
 def weighted_within(per_time: DataFrame, keys: Sequence[str], time_us: str, weight: str, spans: dict[str, int]) -> DataFrame:
     """Sum of ``weight`` in [t - span, t) for each distinct (key, time) row."""
-    from pyspark.sql import Window
-
-    from matchloom.plans.ordered import group_limit, largest_group
-
     cells, df = list(keys), per_time
     if largest_group(df, keys)[0] > group_limit(df.sparkSession):
         own = F.floor(F.col(time_us) / max(spans.values()))
@@ -202,10 +198,10 @@ BULLPEN_DECAY = {"bp3": (0.65, 0.45), "bp7": (0.88, 0.20)}
 def bullpen_decay(rows: DataFrame) -> DataFrame:
     """s <- carry * s + gain * max(0, ga - 3), written as a decayed sum of earlier loads."""
     load = F.greatest(F.col("ga") - 3, F.lit(0)).cast("double")
-    df, line = rows, Timeline(rows, TEAM, ORDER, eligible="eligible")
+    df, line = rows, Timeline(rows, TEAM, ORDER, eligible="eligible", chain=True)
     for name, (carry, gain) in BULLPEN_DECAY.items():
         df = line.again(df).decayed({name: load * gain}, -1.0 / math.log(carry), mean=False)
-    return df.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in BULLPEN_DECAY})
+    return df.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in BULLPEN_DECAY}).drop(SLICE)
 
 
 def head_to_head(games: DataFrame, meetings: int = 8) -> DataFrame:
@@ -293,7 +289,7 @@ def starter_profiles(lines: DataFrame, key: Sequence[str] = ("league", "pitcher"
     have = [m for m in STARTER_METRICS if m in lines.columns]
     value = lambda m: F.col(m).cast("double")
     lines = lines if "eligible" in lines.columns else lines.withColumn("eligible", F.lit(True))
-    line = Timeline(lines, key, ORDER, eligible="eligible")
+    line = Timeline(lines, key, ORDER, eligible="eligible", chain=True)
     decayed = [m for m in ("era", "whip", "k9", "bb9", "hr9", "fip") if m in have]
     df = line.decayed({f"sp_{m}": value(m) for m in decayed}, scale)
     recent = [m for m in ("era", "k9", "k_rate", "bb_rate", "pitches", "ip") if m in have]
@@ -353,7 +349,7 @@ def player_profiles(lines: DataFrame, key: Sequence[str] = ("league", "player_id
     lines = lines if "eligible" in lines.columns else lines.withColumn("eligible", F.lit(True))
     rates = batting_rates(lines)
     base = lines.withColumns({f"_g_{n}": c for n, c in rates.items()})
-    line = Timeline(base, key, ORDER, eligible="eligible")
+    line = Timeline(base, key, ORDER, eligible="eligible", chain=True)
     df = line.decayed({f"pp_{n}": F.col(f"_g_{n}") for n in rates}, scale)
     df = line.again(df).trailing(
         5, lambda frame: {f"pp_recent_{n}": F.avg(f"_g_{n}").over(frame(5)) for n in PLAYER_RECENT}

@@ -57,17 +57,20 @@ class Timeline:
         order: Sequence[str],
         eligible: str | None = None,
         sizes: tuple[int, int] | None = None,
+        chain: bool = False,
     ):
-        self.keys, self.order, self.eligible = list(keys), list(order), eligible
+        """``chain`` keeps the slice column in results, so that ``again`` can continue without a new cut."""
+        self.keys, self.order, self.eligible, self.chain = list(keys), list(order), eligible, chain
         limit = group_limit(df.sparkSession)
         self.sizes = sizes or largest_group(df, self.keys)
         self.sliced = self.sizes[0] > limit
-        self.df = cut_into_slices(df, self.keys, self.order, limit, self.sizes[1]) if self.sliced else df
-        self.columns = df.columns
+        cut = SLICE in df.columns
+        self.df = cut_into_slices(df, self.keys, self.order, limit, self.sizes[1]) if self.sliced and not cut else df
+        self.columns = [c for c in df.columns if c != SLICE] + ([SLICE] if chain and self.sliced else [])
 
     def again(self, df: DataFrame, eligible: str | None = None) -> Timeline:
-        """The same rows with more columns: group sizes are already known."""
-        return Timeline(df, self.keys, self.order, eligible or self.eligible, self.sizes)
+        """The same rows with more columns: group sizes (and slices) are already known."""
+        return Timeline(df, self.keys, self.order, eligible or self.eligible, self.sizes, self.chain)
 
     # -- shared pieces -------------------------------------------------------------------------
 

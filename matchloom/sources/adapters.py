@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Share a file of fewer input splits than cores among all cores; a table of many splits is left as it is.
+
+    Only file lengths are looked at, so nothing runs here.
+    """
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 262_144 < size < cores * 16 * 1024 * 1024 else df
+
+
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
@@ -19,9 +31,10 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def matches(spark: SparkSession, folder: str, orders: DataFrame | None = None) -> DataFrame:
     """One game per order (a table or a stream of orders); teams are nations, leagues are regions."""
+    columns = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     if orders is None:
-        orders = table(spark, folder, "orders")
-    orders = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+        orders = spread(table(spark, folder, "orders", *columns), f"{folder}/orders.parquet")
+    orders = orders.select(*columns)
     customers = table(spark, folder, "customer", "c_custkey", "c_nationkey")
     nations = table(spark, folder, "nation")
     regions = table(spark, folder, "region")

@@ -164,6 +164,20 @@ def elo_report(spark, d):
     return rounded(rep, ["league", "rule", "samples"], ["accuracy", "base_rate", "improvement"])
 
 
+def league_bundle(spark, d):
+    """Season and league outputs together: rating accuracy, top-4 hits, Low/High accuracy."""
+    from matchloom.operators import reports
+
+    g = adapters.matches(spark, d)
+    scored = reports.with_scores(adapters.predictions(spark, d)).select("game_id", "datetime", "actual", "top4_hit", "high", "actual_high")
+    both = rating.ratings(g).join(scored, "game_id").withColumn("season", F.year("datetime"))
+    out = both.groupBy("season", "league").agg(
+        F.count(F.lit(1)).alias("games"), F.avg(((F.col("elo_expected") >= 0.5) == (F.col("actual") == 0)).cast("double")).alias("elo_accuracy"),
+        F.avg("top4_hit").alias("top4_rate"), F.avg(((F.col("high") >= 0.5).cast("double") == F.col("actual_high")).cast("double")).alias("low_high_accuracy"),
+    )
+    return rounded(out, ["season", "league", "games"], ["elo_accuracy", "top4_rate", "low_high_accuracy"])
+
+
 def routing_replay(spark, d):
     out = routing.replay(adapters.experts(spark, d), EXPERTS, features=FEATURES)
     flat = out.withColumns({f"routed_{i}": F.col("routed")[i] for i in range(3)} | {f"weight_{i}": F.col("weights")[i] for i in range(3)})
@@ -179,7 +193,7 @@ def routing_gate(spark, d):
 QUERIES = {
     "output_drift": output_drift, "feature_drift": feature_drift, "mmd_drift": mmd_drift, "expert_decay_loss": expert_decay_loss, "conformal_sets": conformal_sets,
     "recency_weights": recency_weights, "chrono_split": chrono_split, "drift_slices": drift_slices, "elo_main": elo_main, "elo_variants": elo_variants,
-    "elo_report": elo_report, "routing_replay": routing_replay, "routing_gate": routing_gate,
+    "elo_report": elo_report, "league_bundle": league_bundle, "routing_replay": routing_replay, "routing_gate": routing_gate,
 }
 ORACLES = {
     "output_drift": _output_sql(), "feature_drift": _feature_sql(), "expert_decay_loss": _decay_sql(), "conformal_sets": _conformal_sql(), "recency_weights": RECENCY_SQL,
