@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from matchloom.functions import prob
+from matchloom.plans.durable import measured
 from matchloom.plans.ordered import Timeline
 
 ORDER = ["datetime", "game_id"]
@@ -143,11 +144,17 @@ def conformal(
     ).select(*df.columns, "p_values", "set_size", "top_gap", "entropy", "conformal_signal", "history_rows")
 
 
+def _placed(df: DataFrame, keys: list[str], pos: str, n: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their rank, and rows per key; the join on the key needs no shuffle while groups are small."""
+    line = Timeline(df, keys, ORDER)
+    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    return line.positions(pos), measured(size) if line.sliced else size
+
+
 def recency_weights(df: DataFrame, keys: Sequence[str] = ("league",), half_life: float = 1800.0, floor: float = 0.20) -> DataFrame:
     """2^(-age / half-life) with age 0 for the latest row of the key, clipped to [floor, 1]."""
     keys = list(keys)
-    placed = Timeline(df, keys, ORDER).positions("_pos")
-    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    placed, size = _placed(df, keys, "_pos", "_size")
     age = (F.col("_size") - F.col("_pos")).cast("double")
     weight = F.least(F.greatest(F.pow(F.lit(2.0), -age / F.lit(max(100.0, half_life))), F.lit(floor)), F.lit(1.0))
     return placed.join(size, keys).withColumn("weight", weight).select(*df.columns, "weight")
@@ -158,8 +165,7 @@ def chrono_split(
 ) -> DataFrame:
     """Chronological split label per row: each (label, fraction, floor) ends at max(floor, int(n * fraction))."""
     keys = list(keys)
-    placed = Timeline(df, keys, ORDER).positions("pos")
-    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    placed, size = _placed(df, keys, "pos", "n")
     label = F.lit(last)
     for name, fraction, floor in reversed(list(cuts)):
         end = F.greatest(F.lit(floor), F.floor(F.col("n") * F.lit(fraction)))
@@ -170,8 +176,7 @@ def chrono_split(
 def late_windows(df: DataFrame, keys: Sequence[str] = ("league",), minimum: int = 200, floor: int = 50) -> DataFrame:
     """Rows of the last two quarters of each key's timeline, labelled window_1 and window_2."""
     keys = list(keys)
-    placed = Timeline(df, keys, ORDER).positions("_pos")
-    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    placed, size = _placed(df, keys, "_pos", "_n")
     half = F.greatest(F.lit(floor), F.floor(F.col("_n") / 4))
     back = F.col("_n") - F.col("_pos")
     label = F.when(back < half, "window_2").when(back < 2 * half, "window_1")

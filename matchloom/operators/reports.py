@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import dist, prob, score, text
 from matchloom.operators.scorelines import score_candidates
+from matchloom.plans.durable import measured
 from matchloom.plans.ordered import Timeline, values_at_ranks
 
 SIDES = {"top": ("top", "表", "visitor", "away", "先攻"), "bottom": ("bottom", "裏", "home", "後攻")}
@@ -469,7 +470,7 @@ def high_confidence_error(df: DataFrame, p: str, y: str, keys: Sequence[str], th
 
 def at_least_quantile(df: DataFrame, value: str, q: float, keys: Sequence[str]) -> DataFrame:
     """Rows whose value reaches its group's q-quantile (linear interpolation)."""
-    cut = values_at_ranks(df, keys, value, {"_cut": lambda n: (n - 1) * F.lit(q)})
+    cut = measured(values_at_ranks(df, keys, value, {"_cut": lambda n: (n - 1) * F.lit(q)}))
     joined = df.join(cut, list(keys)) if keys else df.withColumn("_k", F.lit(1)).join(cut.withColumn("_k", F.lit(1)), "_k").drop("_k")
     return joined.filter(F.col(value) >= F.col("_cut")).drop("_cut")
 

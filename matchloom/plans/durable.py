@@ -33,3 +33,8 @@ def spool(df: DataFrame, label: str = "table") -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """A per-key summary written out, so that joins see its true size and broadcast it only when it is small."""
+    return spool(df, "summary")
