@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, url_filter
+from matchloom.plans.durable import fresh_path
+
+from . import decontaminate, exact_dedup, line_dedup, mixing, simhash, token_planes, url_filter
 from .common import read_table
 
 
@@ -12,6 +15,16 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, folder, "documents"))
 
 
+def op2_token_planes(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_planes.write_tokens(read_table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_planes.read_tokens(spark, path, with_ids=False)
+
+
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, folder, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read_table(spark, folder, "documents"))
 
@@ -20,15 +33,22 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digest_rows(line_dedup.line_dedup(read_table(spark, folder, "documents")))
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.url_filter(read_table(spark, folder, "pages"))
 
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_planes": op2_token_planes,
+    "op3_simhash": op3_simhash,
     "op7_source_mix": op7_source_mix,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
