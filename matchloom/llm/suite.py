@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.plans.durable import fresh_path
 
-from . import decontaminate, exact_dedup, line_dedup, mixing, simhash, token_planes, url_filter
+from . import decontaminate, exact_dedup, language, licenses, line_dedup, mixing, simhash, substring, token_planes, url_filter
 from .common import read_table
 
 
@@ -25,6 +25,18 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(read_table(spark, folder, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.substring_dedup(read_table(spark, folder, "documents"), with_text=False)
+
+
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_spans(read_table(spark, folder, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read_table(spark, folder, "documents"))
 
@@ -45,6 +57,9 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_planes": op2_token_planes,
     "op3_simhash": op3_simhash,
+    "op4_language_id": op4_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_source_mix": op7_source_mix,
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
@@ -53,6 +68,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op5_substring_dedup": substring.SQL,
     "op7_source_mix": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
 }
