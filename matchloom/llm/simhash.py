@@ -154,54 +154,44 @@ def probe_keys(prints: DataFrame, probes: list[tuple[list[int], int]]) -> DataFr
 def _verify(distance: int, second: int | None):
     """Links of a cell that make a spanning forest of its members' links."""
 
-    def forest(fp, fp2, node, own, right, lone):
-        n = len(fp)
-        left = np.arange(n) if lone else np.flatnonzero(~right)
-        other = np.arange(n) if lone else np.flatnonzero(right)
-        linked = np.zeros((len(left), len(other)), bool)
-        for low in range(0, len(left), 512):
-            rows = left[low:low + 512]
-            near = np.bitwise_count(fp[rows, None] ^ fp[None, other])
-            good = (near <= distance) & (own[rows, None] | own[None, other])
+    def forest(fp, fp2, node, row):
+        rows, columns = np.flatnonzero(row), np.flatnonzero(~row)
+        linked = np.zeros((len(rows), len(columns)), bool)
+        for low in range(0, len(rows), 256):
+            some = rows[low:low + 256]
+            near = np.bitwise_count(fp[some, None] ^ fp[None, columns])
+            good = near <= distance
             if second is not None:
-                good &= near + np.bitwise_count(fp2[rows, None] ^ fp2[None, other]) <= second
-            linked[low:low + 512] = good
-        if lone:
-            np.fill_diagonal(linked, False)
-        if not linked.any():
-            return
-        todo = linked.any(axis=1)
-        fresh = np.ones(len(other), bool)
+                good &= near + np.bitwise_count(fp2[some, None] ^ fp2[None, columns]) <= second
+            good &= node[some, None] != node[None, columns]
+            linked[low:low + 256] = good
+        todo, fresh = linked.any(axis=1), np.ones(len(columns), bool)
         while todo.any():
-            # Walk one tree: from left members to fresh right ones and back.
-            front = np.array([int(np.argmax(todo))])
+            # One tree: from rows to columns not reached before and back to rows.
+            front = [int(np.argmax(todo))]
             todo[front] = False
-            while len(front):
-                following = []
+            while front:
+                following: list[int] = []
                 for a in front:
                     reached = np.flatnonzero(linked[a] & fresh)
                     fresh[reached] = False
                     for b in reached:
-                        yield node[left[a]], node[other[b]]
-                    if len(reached):
-                        back = reached[todo[reached]] if lone else np.flatnonzero(linked[:, reached].any(axis=1) & todo)
-                        if not lone:
-                            for c in back:
-                                yield node[left[c]], node[other[reached[np.argmax(linked[c, reached])]]]
-                        todo[back] = False
-                        following.append(back)
-                front = np.concatenate(following) if following else np.array([], int)
+                        yield node[rows[a]], node[columns[b]]
+                        for c in np.flatnonzero(linked[:, b] & todo):
+                            yield node[rows[c]], node[columns[b]]
+                            todo[c] = False
+                            following.append(int(c))
+                front = following
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            members = batch.column(1)
+            members = batch.column(0)
             bounds = members.offsets.to_numpy()
-            flat = members.values
-            get = lambda k: flat.field(k).to_numpy(zero_copy_only=False)
-            fp, fp2, node, own, right = get("fp").view(np.uint64), get("fp2").view(np.uint64), get("node"), get("own"), get("right")
-            links = []
-            for lone, low, high in zip(batch.column(0).to_pylist(), bounds, bounds[1:]):
-                links += forest(fp[low:high], fp2[low:high], node[low:high], own[low:high], right[low:high], lone)
+            get = lambda k: members.values.field(k).to_numpy(zero_copy_only=False)
+            fp, fp2, node, row = get("fp").view(np.uint64), get("fp2").view(np.uint64), get("node"), get("row")
+            links: list = []
+            for low, high in zip(bounds, bounds[1:]):
+                links += forest(fp[low:high], fp2[low:high], node[low:high], row[low:high])
             u, v = zip(*links) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -211,20 +201,33 @@ def _verify(distance: int, second: int | None):
 def link(prints: DataFrame, distance: int, second: int | None = None, cell_rows: int = 1024) -> DataFrame:
     """Links (u, v) between nodes of ``prints`` (node, fp, fp2) whose components equal those of all links.
 
-    Keys are counted first, combined on the map side, and keys of one fingerprint dropped. A key's members are dealt
-    by hash into blocks of about ``cell_rows``; each pair of blocks is a cell of its own, which yields a spanning
-    forest of its links, so neither a task's memory nor the output grows with the square of a key's members.
+    Keys are counted first, combined on the map side, and keys of one fingerprint dropped. A key's owners and all its
+    members are dealt by hash into blocks of about ``cell_rows``; each pair of blocks is a cell of its own, which yields
+    a spanning forest of its links, so neither a task's memory nor the output grows with the square of a key's members.
     """
     keys = probe_keys(prints, plan(prints, distance))
-    crowds = keys.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("owned")).filter("n > 1 AND owned")
-    crowds = spool(crowds.select("part", "key", F.ceil(F.col("n") / cell_rows).cast("int").alias("blocks")), "keys")
-    members = keys.join(crowds, ["part", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "part", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        F.struct("fp", "fp2", "node", "own", (F.col("block") > F.col("other")).alias("right")).alias("member"),
-    )
-    cells = cells.groupBy("part", "key", "low", "high").agg(F.collect_list("member").alias("members")).filter(F.size("members") > 1)
-    return cells.select((F.col("low") == F.col("high")).alias("lone"), "members").mapInArrow(_verify(distance, second), "u long, v long")
+    crowds = keys.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("own").cast("long")).alias("owners")).filter("n > 1 AND owners > 0")
+    blocks = lambda c: F.ceil(F.col(c) / cell_rows).cast("int")
+    crowds = spool(crowds.select("part", "key", blocks("n").alias("wide"), blocks("owners").alias("high")), "keys")
+    members = keys.join(crowds, ["part", "key"])
+    at = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    cell = lambda a, b, row: F.struct(a.alias("a"), b.alias("b"), F.lit(row).alias("row"))
+    as_column = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda a: cell(a, at("wide"), False))
+    as_row = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda b: cell(at("high"), b, True))
+    dealt = members.withColumn("cell", F.explode(F.when(F.col("own"), F.concat(as_column, as_row)).otherwise(as_column)))
+    cells = dealt.groupBy("part", "key", "cell.a", "cell.b").agg(F.collect_list(F.struct("fp", "fp2", "node", "cell.row")).alias("members"))
+    return cells.select("members").mapInArrow(_verify(distance, second), "u long, v long")
+
+
+def radius(similarity: float) -> dict[str, int]:
+    """Distances for ``near_duplicates`` that stand for a Jaccard similarity of shingles.
+
+    Sets of similarity s have a cosine of about 2 s / (1 + s), and a bit differs with the angle's share of a half turn.
+    The first fingerprint may differ by a standard deviation more than expected, both together by half of one.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    spread = lambda bits: math.sqrt(bits * share * (1 - share))
+    return {"distance": int(BITS * share + spread(BITS)), "second": int(2 * BITS * share + spread(2 * BITS) / 2)}
 
 
 def near_duplicates(
