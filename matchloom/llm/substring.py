@@ -119,25 +119,31 @@ def _pieces(window: int, anchor: int, seed: int):
     return run
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers start, start + 1, ... of each run, and each number's place in its run."""
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(starts, counts) + at, at
+
+
 def _edges(window: int, seed: int):
     """Window hashes of pieces, read at their source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for key, packed, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = unpack.decompress(packed).split()
+            cuts, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values
+            pieces, starts, counts = (flat.field(k).to_numpy() for k in ("piece", "start", "windows"))
+            for i, (key, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                words = unpack.decompress(packed.as_py()).split()
                 hashes = gram_hashes(word_hashes(words, seed), window)
-                columns = [[], [], [], [], []]
-                for w in wanted:
-                    n, s = w["windows"], w["start"]
-                    if piece_hash(words, s, n, window, seed) != w["piece"]:
-                        continue  # the place belongs to another row of this id
-                    for c, v in zip(columns, (_signed(hashes[s:s + n]), np.full(n, w["anchor"]), np.full(n, w["piece"]), np.arange(n), np.arange(s, s + n))):
-                        c.append(v)
-                if columns[0]:
-                    edge, anchor, piece, at, pos = (np.concatenate(c).astype(np.int64) for c in columns)
-                    yield pa.RecordBatch.from_pydict({"edge": edge, "anchor": anchor, "piece": piece, "at": at, "doc_id": np.full(len(edge), key, np.int64), "pos": pos})
+                # Other places belong to another row of this id.
+                own = np.array([k for k in range(cuts[i], cuts[i + 1]) if piece_hash(words, starts[k], counts[k], window, seed) == pieces[k]], np.int64)
+                if len(own):
+                    pos, at = _spread(starts[own].astype(np.int64), counts[own].astype(np.int64))
+                    yield pa.RecordBatch.from_pydict({
+                        "edge": _signed(hashes[pos]), "piece": np.repeat(pieces[own], counts[own]), "at": at.astype(np.int32),
+                        "doc_id": np.full(len(pos), key, np.int64), "pos": pos.astype(np.int32),
+                    })
 
     return run
 
@@ -147,47 +153,56 @@ SPANS = "array<struct<pos: int, n: int, source: long, source_pos: int, digest: b
 
 def _cut(window: int, seed: int, with_text: bool):
     """Removes the words under windows that start in an earlier document and lists the spans with their sources."""
+    span = pa.struct([("pos", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("source_pos", pa.int32()), ("digest", pa.binary())])
+
+    def places(covers: pa.StructArray, low: int, high: int, words: list[bytes], key: int):
+        """(pos, source, source_pos) of the windows of one document that start earlier elsewhere, by position."""
+        mine = covers.slice(low, high - low)
+        get = lambda k, x=mine: x.field(k).fill_null(0).to_numpy().astype(np.int64)
+        starts, counts, pieces = get("start"), get("windows"), get("piece")
+        own = np.array([
+            s + n + window - 1 <= len(words) and piece_hash(words, s, n, window, seed) == p for s, n, p in zip(starts.tolist(), counts.tolist(), pieces.tolist())
+        ], bool)  # others are of another row of this id
+        edges = mine.field("edges")
+        whole = own & edges.is_null().to_numpy(zero_copy_only=False)
+        pos, at = _spread(starts[whole], counts[whole])
+        found = [(pos, np.repeat(get("source")[whole], counts[whole]), np.repeat(get("source_pos")[whole], counts[whole]) + at)]
+        sizes = edges.value_lengths().fill_null(0).to_numpy()
+        each, base, good = edges.flatten(), np.repeat(starts, sizes), np.repeat(own, sizes)
+        if len(each):
+            many = each.field("ats").value_lengths().to_numpy()
+            ats = each.field("ats").flatten().to_numpy().astype(np.int64)
+            source, shift, base, good = (np.repeat(x, many) for x in (get("source", each), get("shift", each), base, good))
+            found.append(((base + ats)[good], source[good], (ats + shift)[good]))
+        pos, source, source_pos = (np.concatenate(x) for x in zip(*found))
+        pos, first = np.unique(pos[source < key], return_index=True)
+        return pos, source[source < key][first], source_pos[source < key][first]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            out = []
-            for key, packed, covers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw = unpack.decompress(packed)
-                words, places = raw.split(), {}
-                for c in covers or ():
-                    if c["start"] + c["windows"] + window - 1 > len(words) or piece_hash(words, c["start"], c["windows"], window, seed) != c["piece"]:
-                        continue  # of another row of this id
-                    if c["edges"] is None:
-                        if c["source"] < key:
-                            places.update((c["start"] + i, (c["source"], c["source_pos"] + i)) for i in range(c["windows"]))
-                    else:
-                        places.update((c["start"] + e["at"], (e["source"], e["pos"])) for e in c["edges"] if e["source"] < key)
-                gone, spans, last = np.zeros(len(words) + 1, np.int64), [], None
-                for pos in sorted(places):
-                    gone[pos] += 1
-                    gone[min(pos + window, len(words))] -= 1
-                    source, at = places[pos]
-                    # Windows that follow each other both here and at the source make one span.
-                    if last and last[0] + last[1] == pos and last[2] == source and last[3] + last[1] == at and at % GRID:
-                        last[1] += 1
-                    else:
-                        last = [pos, 1, source, at]
-                        spans.append(last)
+            cuts, covers = batch.column(2).offsets.to_numpy(), batch.column(2).values
+            out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans")}
+            for i, (key, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                words = unpack.decompress(packed.as_py()).split()
+                pos, source, source_pos = places(covers, cuts[i], cuts[i + 1], words, key)
+                gone = np.zeros(len(words) + 1, np.int64)
+                np.add.at(gone, pos, 1)
+                np.subtract.at(gone, pos + window, 1)
                 stays = np.cumsum(gone[:-1]) == 0
-                kept = b" ".join([w for w, s in zip(words, stays) if s])
-                out.append({
-                    "doc_id": key, "n_words": len(words), "n_removed": int(len(words) - stays.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept if with_text else None,
-                    "spans": [
-                        {"pos": p, "n": n, "source": s, "source_pos": a, "digest": hashlib.sha256(b" ".join(words[p:p + n + window - 1])).digest()[:16]}
-                        for p, n, s, a in spans
-                    ],
-                })
-            kind = pa.list_(pa.struct([("pos", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("source_pos", pa.int32()), ("digest", pa.binary())]))
-            table = pa.RecordBatch.from_pylist(out, schema=pa.schema([
-                ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", kind),
-            ]))
-            yield table
+                kept = b" ".join([w for w, s in zip(words, stays.tolist()) if s])
+                # Windows that follow each other both here and at the source make one span.
+                on = (np.diff(pos) == 1) & (np.diff(source) == 0) & (np.diff(source_pos) == 1) & (source_pos[1:] % GRID != 0)
+                first = np.flatnonzero(np.append(True, ~on)) if len(pos) else np.zeros(0, np.int64)
+                spans = [
+                    {"pos": p, "n": n, "source": s, "source_pos": a, "digest": hashlib.sha256(b" ".join(words[p:p + n + window - 1])).digest()[:16]}
+                    for p, n, s, a in zip(pos[first].tolist(), np.diff(np.append(first, len(pos))).tolist(), source[first].tolist(), source_pos[first].tolist())
+                ]
+                for k, v in zip(out, (key, len(words), int(len(words) - stays.sum()), hashlib.sha256(kept).hexdigest(), kept if with_text else None, spans)):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(span)))], names=list(out)
+            )
 
     return run
 
@@ -251,20 +266,26 @@ def _attempt(rows: DataFrame, window: int, anchor: int, seed: int, with_text: bo
     )
     anchored = spool(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("source").alias("a"), F.max("latest").alias("b")).filter("a < b").select("anchor", "kinds"), "anchor-kinds")
     live = pieces.join(anchored, "anchor")
-    whole = live.filter("kinds = 1").select("anchor", "piece", "source", "source_pos", F.lit(None).cast("array<struct<at: int, source: long, pos: int>>").alias("edges"))
+    traces = "array<struct<source: long, shift: int, ats: array<int>>>"
+    whole = live.filter("kinds = 1").select("piece", "source", "source_pos", F.lit(None).cast(traces).alias("edges"))
     wanted = live.filter("kinds > 1").groupBy(F.col("source").alias("doc_id")).agg(
-        F.collect_list(F.struct("anchor", "piece", F.col("source_pos").alias("start"), "windows")).alias("wanted")
+        F.collect_list(F.struct("piece", F.col("source_pos").alias("start"), "windows")).alias("wanted")
     )
     edges = spool(
-        texts.join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(_edges(window, seed), "edge long, anchor long, piece long, at long, doc_id long, pos long"),
+        texts.join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(_edges(window, seed), "edge long, piece long, at int, doc_id long, pos int"),
         "edges",
     )
     first = edges.groupBy("edge").agg(F.min("doc_id").alias("source"), F.min_by("pos", "doc_id").alias("first_pos"))
-    branching = edges.join(spool(first, "edge-sources"), "edge").groupBy("anchor", "piece").agg(
-        F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.col("source"), F.col("first_pos").cast("int").alias("pos"))).alias("edges")
-    ).select("anchor", "piece", F.lit(None).cast("long").alias("source"), F.lit(None).cast("int").alias("source_pos"), "edges")
+    # Windows of a piece that follow each other at one source are one trace.
+    traced = edges.select("edge", "piece", "at").join(spool(first, "edge-sources"), "edge").groupBy("piece", "source", (F.col("first_pos") - F.col("at")).alias("shift")).agg(
+        F.collect_list("at").alias("ats")
+    )
+    branching = traced.groupBy("piece").agg(F.collect_list(F.struct("source", "shift", "ats")).alias("edges")).select(
+        "piece", F.lit(None).cast("long").alias("source"), F.lit(None).cast("int").alias("source_pos"), F.col("edges").cast(traces).alias("edges")
+    )
     known = spool(whole.unionByName(branching), "sourced-pieces")
-    covers = found.join(known, ["anchor", "piece"]).filter(F.col("edges").isNotNull() | (F.col("source") < F.col("doc_id"))).groupBy("doc_id").agg(
+    earlier = F.when(F.col("edges").isNull(), F.col("source") < F.col("doc_id")).otherwise(F.exists("edges", lambda e: e["source"] < F.col("doc_id")))
+    covers = found.drop("anchor").join(known, "piece").filter(earlier).groupBy("doc_id").agg(
         F.collect_list(F.struct("start", "windows", "piece", "source", "source_pos", "edges")).alias("covers")
     )
     cut = spool(
