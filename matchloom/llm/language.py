@@ -240,8 +240,8 @@ def train(docs: DataFrame, max_chars: int = MAX_CHARS, max_docs: int = MAX_DOCS)
     def measure(batches):
         for batch in batches:
             frame = batch.to_pandas()
-            for low in range(0, len(frame), 512):
-                part = frame.iloc[low:low + 512]
+            for low in range(0, len(frame), 128):
+                part = frame.iloc[low:low + 128]
                 entropies, n = shared.value.entropies(list(part["text"]))
                 yield pa.RecordBatch.from_pydict({"lang": pa.array(part["lang"], pa.string()), "h": pa.array(list(entropies), pa.list_(pa.float64())), "n": pa.array(n, pa.int64())})
 
@@ -311,7 +311,7 @@ def keep_known(docs: DataFrame, known: Identifier | None = None, text_col: str =
     return docs.mapInArrow(run, docs.schema)
 
 
-def _slices(batch: pa.RecordBatch, at: int, most: int = 4_000_000) -> Iterator[tuple[list[str | None], pa.RecordBatch]]:
+def _slices(batch: pa.RecordBatch, at: int, most: int = 1_000_000) -> Iterator[tuple[list[str | None], pa.RecordBatch]]:
     """Cuts of a batch with about ``most`` characters each."""
     texts, low, size = batch.column(at).to_pylist(), 0, 0
     for i, text in enumerate(texts):

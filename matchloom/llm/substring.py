@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +22,78 @@ WINDOW = 13
 ANCHOR = 6
 #: Verified spans end at multiples of this many words of their source, which bounds the spans of one source.
 GRID = 256
-BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def word_hashes(words: list[bytes], seed: int) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w, seed) for w in words), dtype=np.uint64, count=len(words))
+#: Bytes hashed at once.
+CHUNK = 4_000_000
+BASE, MARK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Bits of a piece's hash that tell rows of one id apart.
+TAG = 0x7FFFFF
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+class Words:
+    """Words of texts as arrays: hashes of all words in a row, and where each text's words begin."""
+
+    def __init__(self, texts: list[bytes], seed: int):
+        if max(map(len, texts), default=0) <= CHUNK:
+            self.hashes, starts = _hash_words(b" ".join(texts), seed)
+            sizes = np.array([len(t) + 1 for t in texts], np.int64)
+            self.first = np.searchsorted(starts, np.append(0, np.cumsum(sizes)))
+        else:
+            each = [np.concatenate(list(_word_hashes(t, seed)) or [np.zeros(0, np.uint64)]) for t in texts]
+            self.hashes = np.concatenate(each)
+            self.first = np.append(0, np.cumsum([len(e) for e in each]))
+
+    def pieces(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Signed hashes of ``length`` words from word ``start`` on."""
+        at = np.arange(len(self.hashes) + 1)
+        sums = np.append(np.uint64(0), np.cumsum(self.hashes * _powers(BASE, len(at))[:-1], dtype=np.uint64))
+        h = (sums[start + length] - sums[start]) * _powers(INVERSE, len(at))[start]
+        return _mixed(h + length.astype(np.uint64) * MARK).view(np.int64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _hash_words(raw: bytes, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words: sums of a number per byte value times a power of its place in the word."""
+    letters = np.frombuffer(raw, np.uint8)
+    outside = np.concatenate(([True], BLANK[letters], [True]))
+    turns = np.flatnonzero(outside[1:] != outside[:-1])
+    start, end = turns[::2], turns[1::2]
+    values = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
+    sums = np.append(np.uint64(0), np.cumsum(values[letters] * _powers(BASE, len(letters)), dtype=np.uint64))
+    h = (sums[end] - sums[start]) * _powers(INVERSE, len(letters) + 1)[start]
+    return _mixed(h + (end - start).astype(np.uint64) * MARK), start
+
+
+def _word_hashes(raw: bytes, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of a long text's words, some megabytes at a time, cut at white space."""
+    low = 0
+    while low < len(raw):
+        gap = SPACE.search(raw, low + CHUNK)
+        high = gap.start() if gap else len(raw)
+        yield _hash_words(raw[low:high], seed)[0]
+        low = high
+
+
+def slices(sizes: list[int], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about ``most`` bytes each."""
+    low, size = 0, 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= most or i == len(sizes) - 1:
+            yield low, i + 1
+            low, size = i + 1, 0
 
 
 def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -35,9 +102,7 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(max(n, 0), np.uint64)
     for j in range(k):
         out = out * BASE + hashes[j:n + j] if n > 0 else out
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ out >> np.uint64(32)
+    return _mixed(out)
 
 
 def window_anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -52,16 +117,18 @@ def window_anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return least
 
 
-def runs_of(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First window and number of windows of each run of windows with one anchor."""
-    first = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1])) if len(anchors) else np.zeros(0, np.int64)
-    return first, np.diff(np.append(first, len(anchors)))
-
-
-def piece_hash(words: list[bytes], start: int, windows: int, window: int, seed: int) -> int:
-    """Signed hash of all words under a run of windows."""
-    h = xxhash.xxh3_64_intdigest(b" ".join(words[start:start + windows + window - 1]), seed + 1)
-    return h - (1 << 64) if h >> 63 else h
+def runs_of(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, number of windows, anchor) of each run of windows of one text with one anchor."""
+    anchors = window_anchors(words.hashes, window, anchor)
+    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    inside = text[:len(anchors)] == text[window - 1:]
+    new = np.append(True, (anchors[1:] != anchors[:-1]) | (text[1:len(anchors)] != text[:len(anchors) - 1]))[:len(anchors)]
+    # Windows across two texts end a run and belong to none.
+    new |= np.append(False, inside[1:] != inside[:-1])[:len(anchors)]
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(anchors)))
+    first, count = first[inside[first]], count[inside[first]]
+    return text[first], first, count, _signed(anchors[first])
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -71,15 +138,13 @@ def _signed(values: np.ndarray) -> np.ndarray:
 def _anchors(window: int, anchor: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                words = text.as_py().split()
-                if len(words) >= window:
-                    own = np.unique(window_anchors(word_hashes(words, seed), window, anchor))
-                    found.append(_signed(own))
-                    keys.append(np.full(len(own), key, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(keys))], names=["anchor", "doc_id"])
+            keys, column = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
+            for low, high in slices(pc.binary_length(column).to_pylist()):
+                text, _, _, own = runs_of(Words(column.slice(low, high - low).to_pylist(), seed), window, anchor)
+                order = np.lexsort((own, text))
+                text, own = text[order], own[order]
+                new = np.append(True, (text[1:] != text[:-1]) | (own[1:] != own[:-1]))[:len(own)]
+                yield pa.RecordBatch.from_arrays([pa.array(own[new]), pa.array(keys[low:high][text[new]])], names=["anchor", "doc_id"])
 
     return run
 
@@ -90,31 +155,37 @@ RUN_TYPE = pa.list_(pa.struct([("anchor", pa.int64()), ("piece", pa.int64()), ("
 
 def _pieces(window: int, anchor: int, seed: int):
     """Per document its words' number and, if it has repeated anchors, the runs under them and the packed text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("packed", pa.binary()), ("runs", RUN_TYPE)])
+
+    def rows(texts: list[bytes], marks: pa.ListArray, pack) -> Iterator[tuple]:
+        words = Words(texts, seed)
+        text, first, count, own = runs_of(words, window, anchor)
+        piece = words.pieces(first, count + window - 1)
+        cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+        for i, raw in enumerate(texts):
+            n = int(words.first[i + 1] - words.first[i])
+            if marks[i].is_valid and n >= window:
+                some = cuts[i] + np.flatnonzero(np.isin(own[cuts[i]:cuts[i + 1]], marks[i].values.to_numpy()))
+                columns = (own[some], piece[some], (first[some] - words.first[i]).astype(np.int32), count[some].astype(np.int32))
+                yield n, None, pack.compress(raw), columns
+            else:
+                yield n, hashlib.sha256(b" ".join(raw.split())).hexdigest(), None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            out = []
-            for key, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2)):
-                raw = text.as_py() or b""
-                words, row = raw.split(), {"doc_id": key}
-                row["n_words"] = len(words)
-                if marks.is_valid and len(words) >= window:
-                    anchors = window_anchors(word_hashes(words, seed), window, anchor)
-                    first, count = runs_of(anchors)
-                    own = _signed(anchors[first])
-                    some = np.isin(own, marks.values.to_numpy())
-                    row["runs"] = [
-                        {"anchor": int(a), "piece": piece_hash(words, int(s), int(n), window, seed), "start": int(s), "windows": int(n)}
-                        for a, s, n in zip(own[some], first[some], count[some])
-                    ]
-                    row["packed"] = pack.compress(raw)
-                else:
-                    row["kept_sha256"] = hashlib.sha256(b" ".join(words)).hexdigest()
-                out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
-                ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("packed", pa.binary()), ("runs", RUN_TYPE),
-            ]))
+            column = batch.column(1).cast(pa.binary()).fill_null(b"")
+            for low, high in slices(pc.binary_length(column).to_pylist()):
+                n, sha, packed, runs = zip(*rows(column.slice(low, high - low).to_pylist(), batch.column(2).slice(low, high - low), pack))
+                sizes = [0 if r is None else len(r[0]) for r in runs]
+                flat = [np.concatenate([r[k] for r in runs if r is not None] or [np.zeros(0, np.int64)]) for k in range(4)]
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.append(0, np.cumsum(sizes)), pa.int32()),
+                    pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(flat, RUN_TYPE.value_type)], fields=list(RUN_TYPE.value_type)),
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(low, high - low), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(packed, pa.binary()), lists.cast(RUN_TYPE)], schema=schema
+                )
 
     return run
 
@@ -134,10 +205,11 @@ def _edges(window: int, seed: int):
             cuts, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values
             pieces, starts, counts = (flat.field(k).to_numpy() for k in ("piece", "start", "windows"))
             for i, (key, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
-                words = unpack.decompress(packed.as_py()).split()
-                hashes = gram_hashes(word_hashes(words, seed), window)
+                words = Words([unpack.decompress(packed.as_py())], seed)
+                hashes, some = gram_hashes(words.hashes, window), np.arange(cuts[i], cuts[i + 1])
+                some = some[starts[some] + counts[some] <= len(hashes)]
                 # Other places belong to another row of this id.
-                own = np.array([k for k in range(cuts[i], cuts[i + 1]) if piece_hash(words, starts[k], counts[k], window, seed) == pieces[k]], np.int64)
+                own = some[words.pieces(starts[some], counts[some] + window - 1) == pieces[some]]
                 if len(own):
                     pos, at = _spread(starts[own].astype(np.int64), counts[own].astype(np.int64))
                     yield pa.RecordBatch.from_pydict({
@@ -155,14 +227,14 @@ def _cut(window: int, seed: int, with_text: bool):
     """Removes the words under windows that start in an earlier document and lists the spans with their sources."""
     span = pa.struct([("pos", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("source_pos", pa.int32()), ("digest", pa.binary())])
 
-    def places(covers: pa.StructArray, low: int, high: int, words: list[bytes], key: int):
+    def places(covers: pa.StructArray, low: int, high: int, words: Words, key: int):
         """(pos, source, source_pos) of the windows of one document that start earlier elsewhere, by position."""
         mine = covers.slice(low, high - low)
         get = lambda k, x=mine: x.field(k).fill_null(0).to_numpy().astype(np.int64)
-        starts, counts, pieces = get("start"), get("windows"), get("piece")
-        own = np.array([
-            s + n + window - 1 <= len(words) and piece_hash(words, s, n, window, seed) == p for s, n, p in zip(starts.tolist(), counts.tolist(), pieces.tolist())
-        ], bool)  # others are of another row of this id
+        starts, counts, tags = get("start"), get("windows"), get("tag")
+        own = starts + counts + window - 1 <= len(words.hashes)
+        # Others are of another row of this id.
+        own[own] = words.pieces(starts[own], counts[own] + window - 1) & TAG == tags[own]
         edges = mine.field("edges")
         whole = own & edges.is_null().to_numpy(zero_copy_only=False)
         pos, at = _spread(starts[whole], counts[whole])
@@ -184,8 +256,9 @@ def _cut(window: int, seed: int, with_text: bool):
             cuts, covers = batch.column(2).offsets.to_numpy(), batch.column(2).values
             out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans")}
             for i, (key, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
-                words = unpack.decompress(packed.as_py()).split()
-                pos, source, source_pos = places(covers, cuts[i], cuts[i + 1], words, key)
+                raw = unpack.decompress(packed.as_py())
+                words = raw.split()
+                pos, source, source_pos = places(covers, cuts[i], cuts[i + 1], Words([raw], seed), key)
                 gone = np.zeros(len(words) + 1, np.int64)
                 np.add.at(gone, pos, 1)
                 np.subtract.at(gone, pos + window, 1)
@@ -286,7 +359,7 @@ def _attempt(rows: DataFrame, window: int, anchor: int, seed: int, with_text: bo
     known = spool(whole.unionByName(branching), "sourced-pieces")
     earlier = F.when(F.col("edges").isNull(), F.col("source") < F.col("doc_id")).otherwise(F.exists("edges", lambda e: e["source"] < F.col("doc_id")))
     covers = found.drop("anchor").join(known, "piece").filter(earlier).groupBy("doc_id").agg(
-        F.collect_list(F.struct("start", "windows", "piece", "source", "source_pos", "edges")).alias("covers")
+        F.collect_list(F.struct("start", "windows", F.col("piece").bitwiseAND(F.lit(TAG)).cast("int").alias("tag"), "source", "source_pos", "edges")).alias("covers")
     )
     cut = spool(
         texts.join(covers, "doc_id", "left").select("doc_id", "packed", "covers").mapInArrow(

@@ -40,21 +40,21 @@ class Encoder:
     distinct piece is encoded once. Texts with other white space go to the library whole.
     """
 
-    def __init__(self, definition: str, most: int = 700_000):
+    def __init__(self, definition: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.memo = Tokenizer.from_str(definition), most, {}
 
-    def coded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(c.ids, dtype="<u4") for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def coded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(c.ids, dtype="<u4").tobytes() for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
         out: list = [None] * len(texts)
         whole = np.flatnonzero(uneven)
         for i, ids in zip(whole, self.coded(texts.take(whole).to_pylist()) if len(whole) else []):
-            out[i] = ids
+            out[i] = np.frombuffer(ids, dtype="<u4")
         even = np.flatnonzero(~uneven)
         if not len(even):
             return out
@@ -72,8 +72,8 @@ class Encoder:
             for word, ids in zip(some, self.coded(some)):
                 (memo if len(word) < 64 else once)[word] = ids
         ids = [memo[w] if w in memo else once[w] for w in words]
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        firsts, flat = np.cumsum(sizes) - sizes, np.concatenate(ids)
+        sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        firsts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), dtype="<u4")
         each = sizes[at]
         ends = np.cumsum(each)
         # The n-th id of a piece stands n places after the first id of its word.
@@ -138,8 +138,8 @@ def _blocks(definition, end_id: int, kind: str, size: int):
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for low in range(0, len(keys), 2048):
-                for key, ids in zip(keys[low:low + 2048], encoder.encode(texts.slice(low, 2048))):
+            for low in range(0, len(keys), 1024):
+                for key, ids in zip(keys[low:low + 1024], encoder.encode(texts.slice(low, 1024))):
                     ids = np.append(ids, np.uint32(end_id))
                     at = 0
                     while at < len(ids):
