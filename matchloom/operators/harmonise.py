@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions import text
+from matchloom.plans.ordered import latest_per_key
 
 # Competition taxonomy. Exclusion terms are tested first, then the groups in this order.
 EXCLUDED_TERMS = (
@@ -36,25 +37,32 @@ USABLE_STATES = ("VERIFIED", "PROJECTED")
 RETIRED_WEATHER = ("", "UNKNOWN", "CONSERVATIVE_8H_BOUND", "FAIL_CLOSED_NO_ISSUANCE_TIMESTAMP")
 # Team short names and their canonical forms.
 TEAM_ALIASES = {
-    "読売ジャイアンツ": ("巨人", "読売"),
-    "阪神タイガース": ("阪神",),
-    "中日ドラゴンズ": ("中日",),
-    "広島東洋カープ": ("広島",),
-    "東京ヤクルトスワローズ": ("ヤクルト", "東京ヤクルト"),
-    "横浜DeNAベイスターズ": ("DeNA", "ＤｅＮＡ", "横浜", "横浜DeNA"),
-    "福岡ソフトバンクホークス": ("ソフトバンク", "福岡ソフトバンク"),
-    "埼玉西武ライオンズ": ("西武", "埼玉西武"),
-    "北海道日本ハムファイターズ": ("日本ハム", "日ハム", "北海道日本ハム"),
-    "千葉ロッテマリーンズ": ("ロッテ", "千葉ロッテ"),
-    "東北楽天ゴールデンイーグルス": ("楽天", "東北楽天"),
-    "オリックス・バファローズ": ("オリックス",),
+    "巨人": "読売ジャイアンツ",
+    "読売": "読売ジャイアンツ",
+    "阪神": "阪神タイガース",
+    "中日": "中日ドラゴンズ",
+    "広島": "広島東洋カープ",
+    "ヤクルト": "東京ヤクルトスワローズ",
+    "東京ヤクルト": "東京ヤクルトスワローズ",
+    "DeNA": "横浜DeNAベイスターズ",
+    "ＤｅＮＡ": "横浜DeNAベイスターズ",
+    "横浜": "横浜DeNAベイスターズ",
+    "横浜DeNA": "横浜DeNAベイスターズ",
+    "ソフトバンク": "福岡ソフトバンクホークス",
+    "福岡ソフトバンク": "福岡ソフトバンクホークス",
+    "西武": "埼玉西武ライオンズ",
+    "埼玉西武": "埼玉西武ライオンズ",
+    "日本ハム": "北海道日本ハムファイターズ",
+    "日ハム": "北海道日本ハムファイターズ",
+    "北海道日本ハム": "北海道日本ハムファイターズ",
+    "ロッテ": "千葉ロッテマリーンズ",
+    "千葉ロッテ": "千葉ロッテマリーンズ",
+    "楽天": "東北楽天ゴールデンイーグルス",
+    "東北楽天": "東北楽天ゴールデンイーグルス",
+    "オリックス": "オリックス・バファローズ",
 }
 
 
-def alias_map(groups: Mapping[str, Sequence[str]] = TEAM_ALIASES) -> dict[str, str]:
-    return {short: full for full, shorts in groups.items() for short in shorts}
-
-
 def _mentions(label: Column, terms: Sequence[str]) -> Column:
     hit = F.lit(False)
     for term in terms:
@@ -225,8 +233,8 @@ def season_schedule(raw: DataFrame, year: int) -> DataFrame:
     out = raw.select(
         text.pick(raw, ["GameID", "game_id", "gamepk"]).alias("game_id"),
         text.stamp(day, clock, "UTC").alias("datetime"),
-        text.canonical(text.pick(raw, ["HTeamNameS", "home_team_short_name", "home_team", "home"]), alias_map()).alias("home"),
-        text.canonical(text.pick(raw, ["VTeamNameS", "away_team_short_name", "away_team", "away"]), alias_map()).alias("away"),
+        text.canonical(text.pick(raw, ["HTeamNameS", "home_team_short_name", "home_team", "home"]), TEAM_ALIASES).alias("home"),
+        text.canonical(text.pick(raw, ["VTeamNameS", "away_team_short_name", "away_team", "away"]), TEAM_ALIASES).alias("away"),
         text.number(text.pick(raw, ["HScore", "home_score"])).alias("home_score"),
         text.number(text.pick(raw, ["VScore", "away_score"])).alias("away_score"),
         text.pick(raw, ["GameKindName", "game_type_name", "game_type"], "UNKNOWN").alias("game_type"),
@@ -234,19 +242,18 @@ def season_schedule(raw: DataFrame, year: int) -> DataFrame:
     )
     out = classify(out.dropna(subset=["game_id", "datetime", "home", "away", "home_score", "away_score"]))
     inside = (F.year("datetime") == year) & F.month("datetime").between(3, 12)
-    return out.filter((F.col("category") != "excluded") & inside).dropDuplicates(["game_id"])
+    kept = out.filter((F.col("category") != "excluded") & inside)
+    return latest_per_key(kept, ["game_id"], ["datetime", "home", "away", "home_score", "away_score", "game_type", "venue"])
 
 
 def raw_schedule(raw: DataFrame, kinds: bool = True) -> DataFrame:
     """Finished games of a raw schedule with competition class from the kind code; last row per game wins."""
-    from matchloom.plans.ordered import latest_per_key
-
     done = raw.filter(F.col("game_state").cast("int") == 2)
     seq = F.col("SeqNo").cast("long") if "SeqNo" in raw.columns else F.lit(0).cast("long")
     out = done.select(
         F.col("game_id").cast("string").alias("game_id"), F.try_to_timestamp(F.col("game_date").cast("string")).alias("datetime"),
-        text.canonical(F.col("home_team_short_name"), alias_map()).alias("home"),
-        text.canonical(F.col("away_team_short_name"), alias_map()).alias("away"),
+        text.canonical(F.col("home_team_short_name"), TEAM_ALIASES).alias("home"),
+        text.canonical(F.col("away_team_short_name"), TEAM_ALIASES).alias("away"),
         text.number(F.col("home_score")).alias("home_score"), text.number(F.col("away_score")).alias("away_score"),
         F.col("stadium_name_jpn").alias("venue"), kind_category(F.col("game_kind_id")).alias("category"), seq.alias("_seq"),
     ).dropna(subset=["game_id", "home_score", "away_score"]).filter("category <> 'excluded'")

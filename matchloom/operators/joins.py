@@ -13,7 +13,8 @@ from matchloom.plans.ordered import Timeline, latest_per_key
 def settle(ledger: DataFrame, results: DataFrame, now: Column, zone: str = "Asia/Tokyo", hold_hours: int = 5) -> DataFrame:
     """Fill outcomes of unsettled forecasts from results of the same local date and teams.
 
-    Future dates never settle; same-day games wait ``hold_hours`` after the start; probabilities are untouched.
+    Future dates never settle; same-day games wait ``hold_hours`` after the start; probabilities are untouched. Of
+    several results for one date and pairing the one with the higher scores counts, so ledger rows never multiply.
     """
     day = F.to_date(F.from_utc_timestamp(F.col("datetime"), zone))
     today = F.to_date(F.from_utc_timestamp(now, zone))
@@ -21,6 +22,7 @@ def settle(ledger: DataFrame, results: DataFrame, now: Column, zone: str = "Asia
         F.col("date").alias("_day"), F.col("home").alias("_home"), F.col("away").alias("_away"),
         F.col("home_score").alias("_hs"), F.col("away_score").alias("_as"),
     )
+    found = latest_per_key(found, ["_day", "_home", "_away"], ["_hs", "_as"])
     open_row = F.col("actual").isNull()
     due = (day < today) | ((day == today) & (F.unix_timestamp(now) - F.unix_timestamp(F.col("datetime")) >= hold_hours * 3600))
     joined = ledger.withColumn("_due", F.coalesce(open_row & due, F.lit(False))).withColumn("_d", day)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import dist, prob, score, text
 from matchloom.operators.scorelines import score_candidates
 from matchloom.plans.durable import measured
-from matchloom.plans.ordered import Timeline, values_at_ranks
+from matchloom.plans.ordered import Timeline, latest_per_key, values_at_ranks
 
 SIDES = {"top": ("top", "表", "visitor", "away", "先攻"), "bottom": ("bottom", "裏", "home", "後攻")}
 
@@ -106,8 +106,8 @@ def first_pitchers(at_bats: DataFrame) -> DataFrame:
 
 
 def team_batting(records: DataFrame, counters: Sequence[str]) -> DataFrame:
-    """Team totals from distinct (game, side, player) records."""
-    best = records.groupBy("game_id", "side", "player_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in counters])
+    """Team totals from one record per (game, side, player): the one with the highest counters, compared in their order."""
+    best = latest_per_key(records, ["game_id", "side", "player_id"], list(counters))
     return best.groupBy("game_id", "side").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in counters])
 
 
@@ -149,11 +149,12 @@ PLAY_RULES = (
     (("フライ",), ("flyout", "ab", "pa")),
     (("ライナー",), ("lineout", "ab", "pa")),
 )
+# Counters of plays and of box lines.
 PLAY_COUNTERS = (
-    "pa ab h doubles triples hr bb hbp so rbi sb cs sh sf gidp errors bunt groundout flyout lineout "
-    "power_events contact_events event_count"
-).split()
-BOX_COUNTERS = "pa ab h doubles triples hr bb so sb cs".split()
+    "pa", "ab", "h", "doubles", "triples", "hr", "bb", "hbp", "so", "rbi", "sb", "cs", "sh", "sf", "gidp", "errors", "bunt", "groundout", "flyout", "lineout",
+    "power_events", "contact_events", "event_count",
+)
+BOX_COUNTERS = ("pa", "ab", "h", "doubles", "triples", "hr", "bb", "so", "sb", "cs")
 
 
 def play_counters(plays: DataFrame, box: DataFrame | None = None) -> DataFrame:

@@ -32,6 +32,10 @@ class TableStore:
     def read(self, layer: str, dataset: str) -> DataFrame:
         return self.spark.read.parquet(self.path(layer, dataset))
 
+    def drop_partition(self, layer: str, dataset: str, partition: str, value: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(layer, dataset)}/{partition}={value}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def row_count(self, layer: str, dataset: str) -> int:
         return self.read(layer, dataset).count()
 
@@ -70,14 +74,21 @@ def merge_latest(base: DataFrame, delta: DataFrame, keys: Sequence[str], order:
 
 
 def merge_into(store: TableStore, layer: str, dataset: str, delta: DataFrame, keys: Sequence[str], order: Sequence[str], partition: str) -> None:
-    """Merge a delta into a partitioned table, rewriting only the partitions that the delta touches."""
+    """Merge a delta into a partitioned table, rewriting only the partitions that hold the delta's keys before or after.
+
+    A key whose partition value changes leaves its old partition; a partition left without rows is removed.
+    """
     if not store.exists(layer, dataset):
         store.write(latest_per_key(delta, list(keys), list(order)), layer, dataset, partition=[partition])
         return
-    touched = delta.select(partition).distinct()
-    base = store.read(layer, dataset).join(touched, partition, "left_semi")
-    merged = spool(merge_latest(base, delta, keys, order), "merge")
+    present = store.read(layer, dataset)
+    before = spool(present.join(delta.select(*keys).distinct(), list(keys), "left_semi").select(partition).distinct(), "merge-parts")
+    touched = before.union(delta.select(partition)).distinct()
+    merged = spool(merge_latest(present.join(touched, partition, "left_semi"), delta, keys, order), "merge")
+    emptied = [r[0] for r in before.join(merged.select(partition).distinct(), partition, "left_anti").collect()]  # partitions, not rows
     store.write(merged, layer, dataset, partition=[partition])
+    for value in emptied:
+        store.drop_partition(layer, dataset, partition, value)
 
 
 def expected_chunks(spark: SparkSession, start: str, end: str, days: int) -> DataFrame:

@@ -71,7 +71,7 @@ def safe_parse(spark, d):
     )
     value = text.number(text.pick(raw, ["home_score", "hscore", "AWAY_SCORE"]))
     return raw.select(
-        "id", value.alias("value"), text.canonical(F.col("home"), harmonise.alias_map()).alias("team"), text.truthy(F.col("flag")).alias("flag"),
+        "id", value.alias("value"), text.canonical(F.col("home"), harmonise.TEAM_ALIASES).alias("team"), text.truthy(F.col("flag")).alias("flag"),
         text.finite_or_zero(F.when(F.col("id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("id").cast("double"))).alias("clean"),
     )
 
