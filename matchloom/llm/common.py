@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.plans.durable import fresh_path
+
 #: A word is a run of anything but ASCII white space; bytes.split() cuts UTF-8 text the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,3 +23,10 @@ def plain(docs: DataFrame, *columns: str) -> DataFrame:
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
+
+
+def spool_small(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once in the shared folder, pressed with zstandard, and read it back."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,9 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.plans.durable import spool
-
-from .common import plain
+from .common import plain, spool_small
 
 #: Words in a window (an edge of the graph) and in an anchor.
 WINDOW = 13
@@ -323,45 +321,45 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _attempt(rows: DataFrame, window: int, anchor: int, seed: int, with_text: bool) -> tuple[DataFrame, bool]:
     named = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     anchors = named.select("doc_id", "text").mapInArrow(_anchors(window, anchor, seed), "anchor long, doc_id long")
-    repeated = spool(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "anchors")
+    repeated = spool_small(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "anchors")
     marks = anchors.join(repeated, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("marks"))
     pieced = rows.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(
         _pieces(window, anchor, seed), f"doc_id long, n_words long, kept_sha256 string, packed binary, runs {RUNS}"
     )
-    pieced = spool(pieced, "pieces")
+    pieced = spool_small(pieced, "pieces")
     texts = pieced.filter("packed IS NOT NULL").select("doc_id", "packed")
     found = pieced.select("doc_id", F.explode("runs").alias("run")).select("doc_id", "run.*")
-    pieces = spool(
+    pieces = spool_small(
         found.groupBy("anchor", "piece").agg(
             F.min("doc_id").alias("source"), F.min_by("start", "doc_id").alias("source_pos"), F.max("doc_id").alias("latest"), F.max("windows").alias("windows")
         ),
         "piece-sources",
     )
-    anchored = spool(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("source").alias("a"), F.max("latest").alias("b")).filter("a < b").select("anchor", "kinds"), "anchor-kinds")
+    anchored = spool_small(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("source").alias("a"), F.max("latest").alias("b")).filter("a < b").select("anchor", "kinds"), "anchor-kinds")
     live = pieces.join(anchored, "anchor")
     traces = "array<struct<source: long, shift: int, ats: array<int>>>"
     whole = live.filter("kinds = 1").select("piece", "source", "source_pos", F.lit(None).cast(traces).alias("edges"))
     wanted = live.filter("kinds > 1").groupBy(F.col("source").alias("doc_id")).agg(
         F.collect_list(F.struct("piece", F.col("source_pos").alias("start"), "windows")).alias("wanted")
     )
-    edges = spool(
+    edges = spool_small(
         texts.join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(_edges(window, seed), "edge long, piece long, at int, doc_id long, pos int"),
         "edges",
     )
     first = edges.groupBy("edge").agg(F.min("doc_id").alias("source"), F.min_by("pos", "doc_id").alias("first_pos"))
     # Windows of a piece that follow each other at one source are one trace.
-    traced = edges.select("edge", "piece", "at").join(spool(first, "edge-sources"), "edge").groupBy("piece", "source", (F.col("first_pos") - F.col("at")).alias("shift")).agg(
+    traced = edges.select("edge", "piece", "at").join(spool_small(first, "edge-sources"), "edge").groupBy("piece", "source", (F.col("first_pos") - F.col("at")).alias("shift")).agg(
         F.collect_list("at").alias("ats")
     )
     branching = traced.groupBy("piece").agg(F.collect_list(F.struct("source", "shift", "ats")).alias("edges")).select(
         "piece", F.lit(None).cast("long").alias("source"), F.lit(None).cast("int").alias("source_pos"), F.col("edges").cast(traces).alias("edges")
     )
-    known = spool(whole.unionByName(branching), "sourced-pieces")
+    known = spool_small(whole.unionByName(branching), "sourced-pieces")
     earlier = F.when(F.col("edges").isNull(), F.col("source") < F.col("doc_id")).otherwise(F.exists("edges", lambda e: e["source"] < F.col("doc_id")))
     covers = found.drop("anchor").join(known, "piece").filter(earlier).groupBy("doc_id").agg(
         F.collect_list(F.struct("start", "windows", F.col("piece").bitwiseAND(F.lit(TAG)).cast("int").alias("tag"), "source", "source_pos", "edges")).alias("covers")
     )
-    cut = spool(
+    cut = spool_small(
         texts.join(covers, "doc_id", "left").select("doc_id", "packed", "covers").mapInArrow(
             _cut(window, seed, with_text), f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, spans {SPANS}"
         ),
