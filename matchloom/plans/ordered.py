@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchloom.plans.durable import spool
 
@@ -172,22 +173,37 @@ class Timeline:
         return self._finish(self._expose(df, built), list(built))
 
     def rolling(self, values: Mapping[str, Column], widths: Sequence[int]) -> DataFrame:
-        """Sums ``<name>_<w>`` and row counts ``n_<w>`` of the last w used rows before each row.
+        """Sums ``<name>_<w>`` and row counts ``n_<w>`` of the last w used rows before each row; null adds nothing.
 
-        Every width is a difference of prefix sums, so cost per row does not grow with the width.
+        Whole numbers are differences of exact prefix sums, so their cost does not grow with the width.  Other
+        numbers are summed over the very rows of each window: a NaN, an infinity or a huge value leaves with its row.
         """
         width = max(widths)
         df = self._colocated(self._rows(width))
         spec = self._spec("_used") if self.eligible else self._spec()
-        upto = spec.rowsBetween(Window.unboundedPreceding, 0 if self.eligible else -1)
-        sums = {f"_p_{n}": F.sum(F.coalesce(c.cast("double"), F.lit(0.0))).over(upto) for n, c in values.items()}
-        df = df.withColumns({**sums, "_p_n": F.count(F.lit(1)).over(upto)})
+        at = 0 if self.eligible else -1
+        upto = spec.rowsBetween(Window.unboundedPreceding, at)
+        fields = self.df.select(*[c.alias(n) for n, c in values.items()]).schema.fields
+        whole = [f.name for f in fields if isinstance(f.dataType, (T.IntegralType, T.BooleanType))]
+        sums = {"_p_n": F.count(F.lit(1)).over(upto)}
+        for n in whole:
+            # Two 32-bit halves: neither prefix sum can overflow below 2^31 rows.
+            v = F.coalesce(values[n].cast("long"), F.lit(0))
+            sums[f"_ph_{n}"] = F.sum(F.shiftright(v, 32)).over(upto)
+            sums[f"_pl_{n}"] = F.sum(v.bitwiseAND(F.lit(0xFFFFFFFF))).over(upto)
+        df = df.withColumns(sums)
+
+        def part(c: str, w: int) -> Column:
+            return (F.coalesce(F.col(c), F.lit(0)) - F.coalesce(F.lag(c, w).over(spec), F.lit(0))).cast("double")
+
         out = {}
         for w in widths:
             out[f"n_{w}"] = F.least(F.col("_p_n"), F.lit(w))
-            for n in values:
-                earlier = F.coalesce(F.lag(f"_p_{n}", w).over(spec), F.lit(0.0))
-                out[f"{n}_{w}"] = F.coalesce(F.col(f"_p_{n}"), F.lit(0.0)) - earlier
+            for n, c in values.items():
+                if n in whole:
+                    out[f"{n}_{w}"] = part(f"_ph_{n}", w) * float(2**32) + part(f"_pl_{n}", w)
+                else:
+                    out[f"{n}_{w}"] = F.sum(F.coalesce(c.cast("double"), F.lit(0.0))).over(spec.rowsBetween(at + 1 - w, at))
         shown = self._expose(df, out)
         zero = {n: F.coalesce(F.col(n), F.lit(0)) for n in out}
         return self._finish(shown.withColumns(zero), list(out))
@@ -231,9 +247,11 @@ class Timeline:
         """Mean (or sum) of the used rows before each row, weighted exp(-age/scale) with age 0 for the latest.
 
         Prefix sums of x * exp(position/scale) inside blocks of positions, plus what the previous block
-        left over, give the decayed sums in constant work per row; older blocks have weight exp(-block/scale).
+        left over, give the decayed sums in constant work per row; rows more than a block older than the latest
+        value weigh less than rounding.  A row without a value leaves the mean as it is, so the mean at the latest
+        value is carried forward however far back that value lies.  NaN and infinities count as no value.
         With ``widths`` only the last w used rows count (columns ``<name>_<w>``): the full decayed sum less
-        the faded one w rows back.
+        the faded one w rows back; null where those rows hold no value.
         """
         block = block or int(100 * scale)
         if block / scale < 40 or block / scale > 600:
@@ -246,11 +264,16 @@ class Timeline:
         up, down = F.exp(offset / F.lit(scale)), F.exp(-offset / F.lit(scale))
         by_block = Window.partitionBy(*self._cells, *(["_used"] if self.eligible else []), "_b").orderBy(*self.order)
         upto = by_block.rowsBetween(Window.unboundedPreceding, 0)
-        parts = {}
+        parts, counts = {}, {}
+        given = {}
         for n, c in values.items():
-            parts[f"_x_{n}"] = F.sum(F.coalesce(c * up, F.lit(0.0))).over(upto)
-            parts[f"_w_{n}"] = F.sum(F.when(c.isNotNull(), up).otherwise(0.0)).over(upto)
-        df = df.withColumns(parts)
+            x = c.cast("double")
+            given[n] = F.when(F.abs(x) < float("inf"), x)
+            parts[f"_x_{n}"] = F.sum(F.coalesce(given[n] * up, F.lit(0.0))).over(upto)
+            parts[f"_w_{n}"] = F.sum(F.when(given[n].isNotNull(), up).otherwise(0.0)).over(upto)
+            if widths:
+                counts[f"_k_{n}"] = F.count(given[n]).over(spec.rowsBetween(Window.unboundedPreceding, 0))
+        df = df.withColumns({**parts, **counts})
         ends = F.col("_p") % block == block - 1
         left = {f"{c}_left": F.last(F.when(ends, F.col(c)), ignorenulls=True).over(_prior(spec)) for c in parts}
         df = df.withColumns(left)
@@ -258,22 +281,40 @@ class Timeline:
         full = {c: F.col(c) * down + F.coalesce(F.col(f"{c}_left"), F.lit(0.0)) * fade for c in parts}
         df = df.withColumns({f"{c}_d": x for c, x in full.items()})
 
-        def total(c: str, w: int | None) -> Column:
-            whole = F.col(f"{c}_d")
-            return whole if w is None else whole - F.coalesce(F.lag(f"{c}_d", w).over(spec), F.lit(0.0)) * math.exp(-w / scale)
+        def total(c: str, w: int) -> Column:
+            return F.col(f"{c}_d") - F.coalesce(F.lag(f"{c}_d", w).over(spec), F.lit(0.0)) * math.exp(-w / scale)
 
         out = {}
         for n in values:
-            for w in widths or (None,):
-                num, den = total(f"_x_{n}", w), total(f"_w_{n}", w)
-                name = n if w is None else f"{n}_{w}"
-                # Below 1e-9 of weight nothing but rounding is left of a window without values.
-                out[name] = F.when(den > 1e-9, num / F.nullif(den, F.lit(0.0))) if mean else num
+            for w in widths:
+                held = F.col(f"_k_{n}") - F.coalesce(F.lag(f"_k_{n}", w).over(spec), F.lit(0))
+                num = total(f"_x_{n}", w)
+                out[f"{n}_{w}"] = F.when(held > 0, num / F.nullif(total(f"_w_{n}", w), F.lit(0.0))) if mean else num
+        if not widths and mean:
+            at_value = {n: F.when(x.isNotNull(), F.col(f"_x_{n}_d") / F.nullif(F.col(f"_w_{n}_d"), F.lit(0.0))) for n, x in given.items()}
+            df = df.withColumns({f"_r_{n}": F.when(self._used(), x) for n, x in at_value.items()})
+            so_far = spec.rowsBetween(Window.unboundedPreceding, 0)
+            out = {n: F.last(f"_r_{n}", ignorenulls=True).over(so_far) for n in values}
+            if self.sliced:
+                df, out = self._carry_latest(df, [f"_r_{n}" for n in values], out)
+        elif not widths:
+            out = {n: F.col(f"_x_{n}_d") for n in values}
         if not self.eligible:
             df = df.withColumns({f"_m_{n}": c for n, c in out.items()})
             out = {n: F.lag(f"_m_{n}", 1).over(spec) for n in out}
         return self._finish(self._expose(df, out), list(out))
 
+    def _carry_latest(self, df: DataFrame, names: Sequence[str], out: Mapping[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+        """Fill what a slice and its halo leave null with the latest value of any earlier slice of the key."""
+        place = F.struct(*self.order)
+        ends = df.filter(~F.col(HALO)).groupBy(*self._cells).agg(
+            *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), place)).alias(c) for c in names]
+        )
+        before = _prior(Window.partitionBy(*self.keys).orderBy(SLICE))
+        carry = ends.select(*self._cells, *[F.last(c, ignorenulls=True).over(before).alias(f"_e{c}") for c in names])
+        filled = {n: F.coalesce(x, F.col(f"_e{c}")) for (n, x), c in zip(out.items(), names)}
+        return df.join(carry, self._cells, "left"), filled
+
     def last_seen(self, values: Mapping[str, Column]) -> DataFrame:
         """Values of the last used row strictly before each row."""
         return self.trailing(1, lambda frame: {n: F.last(c).over(frame(1)) for n, c in values.items()})

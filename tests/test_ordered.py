@@ -1,5 +1,7 @@
 """Sliced execution of hot groups gives the rows of the plain windows, and both match plain loops."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -124,3 +126,37 @@ def test_features_see_only_the_past(spark, games):
         return rows_of(df.filter(early), KEYS)
 
     pd.testing.assert_frame_equal(features(games), features(changed))
+
+
+@pytest.mark.parametrize("sliced", [False, True])
+def test_rolling_survives_nan_infinity_and_huge_values(spark, request, sliced):
+    if sliced:
+        request.getfixturevalue("small_groups")
+    odd = {5: float("nan"), 20: float("inf"), 35: 1e17}
+    rows = [("k", i, odd.get(i, 1.0), 2**62 if i == 10 else i, i % 4 != 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, pos long, x double, n long, live boolean")
+    for eligible in (None, "live"):
+        got = ordered.Timeline(df, ["key"], ["pos"], eligible=eligible).rolling({"x": F.col("x"), "m": F.col("n")}, [3, 7]).toPandas().set_index("pos")
+        past = []
+        for key, pos, x, n, live in rows:
+            for w in (3, 7):
+                tail = past[-w:]
+                assert got.loc[pos, f"x_{w}"] == pytest.approx(sum(v for v, _ in tail), nan_ok=True)
+                assert got.loc[pos, f"n_{w}"] == len(tail) and got.loc[pos, f"m_{w}"] == float(sum(m for _, m in tail))
+            if live or eligible is None:
+                past.append((x, n))
+
+
+@pytest.mark.parametrize("sliced", [False, True])
+def test_decayed_mean_is_kept_over_long_gaps(spark, request, sliced):
+    if sliced:
+        request.getfixturevalue("small_groups")
+    value = {0: 5.0, 3: 2.0, 4: float("nan"), 150: 9.0}
+    df = spark.createDataFrame([("k", i, value.get(i)) for i in range(170)], "key string, pos long, x double")
+    for eligible in (None, "live"):
+        line = ordered.Timeline(df.withColumn("live", F.lit(True)), ["key"], ["pos"], eligible=eligible)
+        got = line.decayed({"m": F.col("x")}, 1.0).toPandas().set_index("pos").m
+        early = (5.0 * math.exp(-3.0) + 2.0) / (math.exp(-3.0) + 1.0)
+        assert np.isnan(got[0]) and got[2] == 5.0
+        assert got[4] == pytest.approx(early) and got[149] == pytest.approx(early) and got[150] == pytest.approx(early)
+        assert got[151] == pytest.approx(9.0) and got[169] == pytest.approx(9.0)
