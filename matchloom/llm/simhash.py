@@ -152,13 +152,15 @@ def probe_keys(prints: DataFrame, probes: list[tuple[list[int], int]]) -> DataFr
 
 
 def _verify(distance: int, second: int | None):
-    """Links of a cell that make a spanning forest of its members: each tree's nodes under its smallest.
+    """Links of a cell that make a spanning forest of its members' links.
 
-    Cells of other keys that hold the same nodes name the same roots, so their links are repeats.
+    Trees grow from the smallest node and reach nodes in ascending order, so that cells of other keys that hold the
+    same nodes mostly name the same links.
     """
 
     def forest(fp, fp2, node, row):
-        rows, columns = np.flatnonzero(row), np.flatnonzero(~row)
+        rising = np.argsort(node, kind="stable")
+        rows, columns = rising[row[rising]], rising[~row[rising]]
         linked = np.zeros((len(rows), len(columns)), bool)
         for low in range(0, len(rows), 256):
             some = rows[low:low + 256]
@@ -173,21 +175,18 @@ def _verify(distance: int, second: int | None):
             # One tree: from rows to columns not reached before and back to rows.
             front = [int(np.argmax(todo))]
             todo[front] = False
-            tree = {node[rows[front[0]]]}
             while front:
                 following: list[int] = []
                 for a in front:
                     reached = np.flatnonzero(linked[a] & fresh)
                     fresh[reached] = False
-                    tree.update(node[columns[reached]])
                     for b in reached:
+                        yield node[rows[a]], node[columns[b]]
                         for c in np.flatnonzero(linked[:, b] & todo):
-                            tree.add(node[rows[c]])
+                            yield node[rows[c]], node[columns[b]]
                             todo[c] = False
                             following.append(int(c))
                 front = following
-            root = min(tree)
-            yield from ((n, root) for n in tree if n != root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
