@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,10 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def trim_worker() -> None:
+    """Give the memory of finished Arrow batches back; workers outlive tasks and would keep it through later stages."""
+    pa.default_memory_pool().release_unused()
+
 
 def spool_small(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once in the shared folder, pressed with zstandard, and read it back."""

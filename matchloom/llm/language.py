@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import plain, trim_worker
 
 ORDER = 4
 SPACE = 32
@@ -311,7 +311,7 @@ def keep_known(docs: DataFrame, known: Identifier | None = None, text_col: str =
     return docs.mapInArrow(run, docs.schema)
 
 
-def _slices(batch: pa.RecordBatch, at: int, most: int = 1_000_000) -> Iterator[tuple[list[str | None], pa.RecordBatch]]:
+def _slices(batch: pa.RecordBatch, at: int, most: int = 500_000) -> Iterator[tuple[list[str | None], pa.RecordBatch]]:
     """Cuts of a batch with about ``most`` characters each."""
     texts, low, size = batch.column(at).to_pylist(), 0, 0
     for i, text in enumerate(texts):
@@ -319,3 +319,4 @@ def _slices(batch: pa.RecordBatch, at: int, most: int = 1_000_000) -> Iterator[t
         if size >= most or i == len(texts) - 1:
             yield texts[low:i + 1], batch.slice(low, i + 1 - low)
             low, size = i + 1, 0
+    trim_worker()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from matchloom.plans.durable import spool
 
-from .common import plain, whole_text
+from .common import plain, trim_worker, whole_text
 from .components import components
 
 BITS = 64
@@ -48,6 +48,7 @@ def _fingerprints(width: int, second: bool):
                 first.append(signed(fingerprint(words, width)))
                 other.append(signed(fingerprint(words, width, SEED + 1)) if second else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.int64()), pa.array(other, pa.int64())], names=["doc_id", "fp", "fp2"])
+            trim_worker()
 
     return run
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import plain, whole_text
+from .common import plain, trim_worker, whole_text
 
 #: Ids in a block; a block holds the ids of several documents or a part of one.
 BLOCK_IDS = 65_536
@@ -40,7 +40,7 @@ class Encoder:
     distinct piece is encoded once. Texts with other white space go to the library whole.
     """
 
-    def __init__(self, definition: str, most: int = 500_000):
+    def __init__(self, definition: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,9 +62,10 @@ class Encoder:
         lists = pc.split_pattern(pc.replace_substring_regex(marked, r"(\p{L})([.,])", "\\1\0\\2"), "\0")
         encoded = lists.flatten().dictionary_encode()
         words, at = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
+        if len(self.memo) > self.most:
+            # The words of the texts at hand stay: frequent ones are among them.
+            self.memo = {w: self.memo[w] for w in words if w in self.memo}
         memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
         new = [w for w in words if w not in memo]
         once = {}
         for start in range(0, len(new), 10_000):
@@ -150,6 +151,7 @@ def _blocks(definition, end_id: int, kind: str, size: int):
                         if filled == size:
                             yield block()
                     place += 1
+                trim_worker()
         if filled:
             yield block()
 
