@@ -12,7 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from matchloom.llm import decontaminate, exact_dedup, language, licenses, line_dedup, mixing, simhash, substring, token_planes, url_filter
+from matchloom.llm import decontaminate, exact_dedup, language, licenses, line_dedup, mixing, near_copies, simhash, substring, token_planes, url_filter
 from matchloom.plans.durable import fresh_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, keep_id long, skey string, node long, marks string"
@@ -394,3 +394,38 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
 
 def test_radius_stands_for_similarity():
     assert simhash.radius(0.8) == {"distance": 12, "second": 21}
+
+
+def brute_groups(table, similarity=0.8):
+    """Rows (id, text) by number, in components of all pairs of rows near enough."""
+    def shingles(text):
+        w = [x.lower() for x in split(text)]
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(text) for _, text in table]
+    return plain_components(range(len(table)), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]))
+
+
+def near_the_limit():
+    """Groups of a text and changed copies, similar to it between 0.6 and 1, many of them just above and below 0.8."""
+    rng, table = random.Random(11), []
+    for group in range(60):
+        base = words(rng, 205).split()
+        table.append((len(table), " ".join(base)))
+        for spots in (1, 3, 4, 5, 6, 9):
+            near = list(base)
+            for p in rng.sample(range(10, 195, 6), spots):
+                near[p] = f"new{group}-{p}-{spots}"
+            table.append((len(table), " ".join(near)))
+    rng.shuffle(table)
+    return table
+
+
+@pytest.mark.parametrize("star_rounds", [4, 0])
+def test_near_dedup_is_jaccard_of_shingles(spark, star_rounds):
+    table = near_the_limit()
+    roots = brute_groups(table)
+    want = {min(table[k][0] for k in roots if roots[k] == r) for r in set(roots.values())}
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = [r.doc_id for r in near_copies.one_of_each(docs, star_rounds=star_rounds).collect()]
+    assert 60 < len(want) < 360 and sorted(got) == sorted(want)
