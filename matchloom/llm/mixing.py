@@ -66,8 +66,8 @@ def balance(groups: DataFrame, targets: DataFrame, cap: float = TOP_RATE, tolera
     return state.select("skey", "source_size", "target", rate.alias("rate"))
 
 
-def ranked(sized: DataFrame, groups: DataFrame, rank_rows: int) -> DataFrame:
-    """Adds ``place``: 1, 2, ... within the source by size, MD5 of the id and id.
+def ranked(sized: DataFrame, groups: DataFrame, rank_rows: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``place``: 1, 2, ... within the source by size, MD5 of the id and id, then the columns ``ties``.
 
     A (source, size) group of n rows is cut into ceil(n / rank_rows) ranges of the MD5; counts of the ranges give the
     first place of each, so that a task orders about ``rank_rows`` rows, however many rows share source and size.
@@ -79,7 +79,7 @@ def ranked(sized: DataFrame, groups: DataFrame, rank_rows: int) -> DataFrame:
     cells = rows.groupBy("skey", "size", "cell").agg(F.count(F.lit(1)).alias("m")).select(
         "skey", "size", "cell", (F.sum("m").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("m")).alias("base")
     )
-    inner = W.partitionBy("skey", "size", "cell").orderBy("tie", "doc_id")
+    inner = W.partitionBy("skey", "size", "cell").orderBy("tie", "doc_id", *ties)
     return rows.join(cells, ["skey", "size", "cell"]).withColumn("place", F.col("base") + F.row_number().over(inner)).drop("base", "cell")
 
 
@@ -97,22 +97,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source and size are interchangeable. Null text: size 0. Null source: a source of its own, last in order. Null ids
     share one MD5 key. No rows, or only empty texts: nothing is taken.
     """
-    chosen = plain(docs, id_col, text_col, source_col)
+    dealt = _dealt(docs, id_col, text_col, source_col, cap, rank_rows)
+    return dealt.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def row_copies(
+    docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = TOP_RATE, rank_rows: int = 100_000
+) -> DataFrame:
+    """(row, copies): what ``mix`` gives each row, by the column ``row_col``, which tells all rows apart.
+
+    Rows that repeat id, source and size are placed by a hash of the text, then by ``row_col``.
+    """
+    return _dealt(docs, id_col, text_col, source_col, cap, rank_rows, row_col).select("row", "copies")
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, cap: float, rank_rows: int, row_col: str | None = None) -> DataFrame:
+    chosen = plain(docs, id_col, text_col, source_col, *([row_col] if row_col else []))
+    ties = {"look": F.xxhash64(F.col(f"`{text_col}`")), "row": F.col(f"`{row_col}`")} if row_col else {}
     sized = chosen.select(
         F.col(f"`{id_col}`").alias("doc_id"), source_key(F.col(f"`{source_col}`").cast("string")).alias("skey"),
         F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).alias("tie"),
+        *(column.alias(name) for name, column in ties.items()),
     )
     sized = spool(sized, "sizes")
     groups = spool(sized.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n")), "size-groups")
     sources = groups.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     rates = balance(groups, spool(token_targets(sources, cap), "targets"), cap)
     upto = lambda place: F.floor(F.col("rate") * place + F.lit(0.5))
-    return (
-        ranked(sized, groups, rank_rows).join(rates, "skey")
-        .withColumn("copies", (upto(F.col("place")) - upto(F.col("place") - 1)).cast("long"))
-        .select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    )
+    placed = ranked(sized, groups, rank_rows, tuple(ties)).join(rates, "skey")
+    return placed.withColumn("copies", (upto(F.col("place")) - upto(F.col("place") - 1)).cast("long"))
 
 
 SQL = r"""

@@ -429,3 +429,36 @@ def test_near_dedup_is_jaccard_of_shingles(spark, star_rounds):
     docs = spark.createDataFrame(table, "doc_id long, text string")
     got = [r.doc_id for r in near_copies.one_of_each(docs, star_rounds=star_rounds).collect()]
     assert 60 < len(want) < 360 and sorted(got) == sorted(want)
+
+
+def test_source_mix_deals_every_row_its_own_copies(spark):
+    """Copies of each row against a plain loop; ids repeat, with one size or several, and many are null."""
+    rng, rows = random.Random(12), []
+    for k in range(240):
+        ident = rng.choice([None, None, k, k % 17, 3])
+        rows.append((ident, f"text{k} " + words(rng, rng.choice([1, 4, 4, 9, 30])), rng.choice(["a", "a", "a", "a", "b", "c", None])))
+    rows += [(3, "equal rows of one id", "b")] * 5 + [(None, "equal rows without one", "c")] * 4 + [(7, "", "a"), (8, None, "a")]
+    by, sizes = defaultdict(list), defaultdict(int)
+    for ident, text, source in rows:
+        by[(source is None, source or "")].append((len(split(text)), hashlib.md5(str("" if ident is None else ident).encode()).hexdigest(), ident is not None, ident or 0))
+        sizes[(source is None, source or "")] += len(split(text))
+    order, total = sorted(sizes), sum(sizes.values())
+    weight, open_, level = {s: k % 3 + 1 for k, s in enumerate(order)}, set(order), 0
+    while full := {s for s in open_ if (level := (total - sum(3 * sizes[s] for s in order if s not in open_)) / sum(weight[t] for t in open_)) * weight[s] > 3 * sizes[s]}:
+        open_ -= full
+    want = defaultdict(list)  # (source, size, id): copies of its rows, in any order
+    for s in order:
+        rate = round(min(3.0, (level * weight[s] if s in open_ else 3.0 * sizes[s]) / sizes[s]), 9)
+        for place, (size, _, named, ident) in enumerate(sorted(by[s]), 1):
+            want[s, size, ident if named else None].append(int(rate * place + 0.5) - int(rate * (place - 1) + 0.5))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out, got = defaultdict(int), defaultdict(list)
+    for r in corpus_pipeline.source_mix(spark, docs, "").collect():
+        out[r.doc_id, r.text, r.source] += 1
+    for ident, text, source in set(rows):
+        got[(source is None, source or ""), len(split(text)), ident].append((out[ident, text, source], rows.count((ident, text, source))))
+    for key, copies in want.items():
+        assert sum(n for n, _ in got[key]) == sum(copies)
+        if all(times == 1 for _, times in got[key]):
+            assert sorted(n for n, _ in got[key]) == sorted(copies)
+    assert sum(len(c) > 1 for c in want.values()) > 10 and max(len(c) for c in want.values()) > 5
