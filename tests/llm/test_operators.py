@@ -462,3 +462,21 @@ def test_source_mix_deals_every_row_its_own_copies(spark):
         if all(times == 1 for _, times in got[key]):
             assert sorted(n for n, _ in got[key]) == sorted(copies)
     assert sum(len(c) > 1 for c in want.values()) > 10 and max(len(c) for c in want.values()) > 5
+
+
+def test_near_dedup_judges_every_row(spark):
+    """Rows without an id and rows of one id: near copies go, other texts stay, and one row of each group stays."""
+    rng = random.Random(13)
+    text = [words(rng, 80) for _ in range(9)]
+    near = lambda k: text[k] + " more"
+    table = [
+        (1, text[0]), (None, near(0)), (None, text[1]), (None, text[2]), (None, text[2]), (None, near(2)), (2, text[3]), (2, text[4]), (3, text[5]), (3, near(3)),
+        (4, text[6]), (4, text[6]), (4, text[6]), (5, text[7]), (5, near(7)), (None, None), (None, ""), (9, text[8]), (9, text[8]), (None, text[8]),
+    ]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(table, "doc_id long, text string").repartition(3), "").collect()]
+    roots = brute_groups(table)
+    for root in set(roots.values()):
+        group = [table[k] for k in roots if roots[k] == root]
+        kept = [r for r in got if r in group]
+        assert len(kept) == 1 and kept[0][0] == min((i for i, _ in group if i is not None), default=None)
+    assert len(got) == len(set(roots.values()))
