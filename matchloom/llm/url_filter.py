@@ -62,12 +62,9 @@ def lexical(rows: DataFrame) -> DataFrame:
     })
 
 
-def suffix_rates(train: DataFrame, least: int = 5) -> DataFrame:
-    """Smoothed share of blocked training urls per suffix; suffixes seen fewer than ``least`` times carry none.
-
-    A training sample of at most ``max_train`` rows on average has at most max_train / least such suffixes.
-    """
-    return train.groupBy("suffix").agg(
+def suffix_rates(known: DataFrame, least: int = 5) -> DataFrame:
+    """Smoothed share of blocked urls per suffix of all labelled ones; suffixes seen fewer than ``least`` times carry none."""
+    return known.groupBy("suffix").agg(
         ((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias("suffix_rate"), F.count(F.lit(1)).alias("seen")
     ).filter(F.col("seen") >= least).select("suffix", "suffix_rate", F.lit(1.0).alias("suffix_known"))
 
@@ -81,7 +78,7 @@ def url_filter(
     A url that a rule fits takes the rule's verdict. Others are blocked where boosted trees give ``threshold`` or
     more. The trees learn from ``labelled`` (url, verdict); without it the urls that rules decide are the labelled
     ones. The fit takes a sample of the labelled urls, chosen by hash, of ``max_train`` rows on average; it is the only
-    thing sampled. ``score`` is null where a rule decides. Null urls and urls without ``://`` have empty host and
+    thing sampled: the suffixes' rates count all labelled urls. ``score`` is null where a rule decides. Null urls and urls without ``://`` have empty host and
     path, match no rule and are scored like others. With labels of one class only, that class is the verdict; without
     any, ``allow``. Rows that repeat get equal verdicts. No rows give no rows.
     """
@@ -102,12 +99,12 @@ def url_filter(
     if len(classes) < 2:
         verdict = "block" if classes == [1.0] else "allow"
         return judged.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit(verdict)).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    rates = spool(suffix_rates(train), "suffixes")
+    rates = spool(suffix_rates(known.select("label", F.regexp_extract("host", r"([^.]*)$", 1).alias("suffix"))), "suffixes")
     prior = train.agg(F.avg("label")).first()[0]
 
     def featured(df: DataFrame) -> DataFrame:
-        # One row per suffix seen often in the bounded sample.
-        return df.join(F.broadcast(rates), "suffix", "left").fillna({"suffix_rate": prior, "suffix_known": 0.0})
+        # One row per suffix; Spark broadcasts them by measured size only.
+        return df.join(rates, "suffix", "left").fillna({"suffix_rate": prior, "suffix_known": 0.0})
 
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label").fit(

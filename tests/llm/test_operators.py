@@ -480,3 +480,20 @@ def test_near_dedup_judges_every_row(spark):
         kept = [r for r in got if r in group]
         assert len(kept) == 1 and kept[0][0] == min((i for i, _ in group if i is not None), default=None)
     assert len(got) == len(set(roots.values()))
+
+
+def test_url_suffix_rates_count_all_labelled(spark):
+    """A suffix too rare for the fit's sample still has its rate; the sample alone decides nothing about it."""
+    rng = random.Random(14)
+    urls = [(f"http://s{k}.{'good' if k % 2 else 'bad'}/{words(rng, 1)}", "allow" if k % 2 else "block") for k in range(3000)]
+    urls += [(f"http://s{k}.rare/{words(rng, 1)}", "block") for k in range(8)]
+    labelled = spark.createDataFrame(urls, "url string, verdict string")
+    seen, real = [], url_filter.suffix_rates
+    url_filter.suffix_rates = lambda known: seen.append(real(known)) or seen[-1]
+    try:
+        pages = spark.createDataFrame([(1, "http://other.rare/x")], "page_id long, url string")
+        assert url_filter.url_filter(pages, labelled=labelled, rules=(), max_train=300).count() == 1
+    finally:
+        url_filter.suffix_rates = real
+    rates = {r.suffix: r.suffix_rate for r in seen[0].collect()}
+    assert rates == {"good": pytest.approx(1 / 1502), "bad": pytest.approx(1501 / 1502), "rare": 0.9}
