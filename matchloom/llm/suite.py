@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.plans.durable import fresh_path
 
-from . import decontaminate, exact_dedup, language, licenses, line_dedup, mixing, simhash, substring, token_planes, url_filter
+from . import bpe_rows, decontaminate, exact_dedup, filter_audit, language, licenses, line_dedup, mixing, simhash, substring, token_planes, url_filter, whitening
 from .common import read_table
 
 
@@ -53,6 +53,19 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.url_filter(read_table(spark, folder, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_audit(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+def op12_bpe_rows(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_rows.encoded(read_table(spark, folder, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(read_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_planes": op2_token_planes,
@@ -64,6 +77,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_bpe_rows": op12_bpe_rows,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES = {
@@ -71,4 +87,5 @@ ORACLES = {
     "op5_substring_dedup": substring.SQL,
     "op7_source_mix": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }
