@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,21 +31,77 @@ def _events(*pairs: tuple[Column, str]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in pairs])))
 
 
+class Rule(NamedTuple):
+    """A change event of one kind: a state is entered, or a word is reached (``source`` and ``unless`` look at the word before),
+    or both sides of a JSON value stand apart, or else the value changes. Words are compared in upper case."""
+
+    kind: str
+    event: str
+    state: str = ""
+    to: tuple[str, ...] = ()
+    source: tuple[str, ...] = ()
+    unless: tuple[str, ...] = ()
+    apart: str = ""
+
+
+# The change events between two consecutive observations of one kind.
+RULES = (
+    Rule("STARTER", "STARTER_CONFIRMED", state="VERIFIED"), Rule("STARTER", "STARTER_CHANGED"),
+    Rule("LINEUP", "LINEUP_PROJECTED", state="PROJECTED"), Rule("LINEUP", "LINEUP_CONFIRMED", state="VERIFIED"),
+    Rule("INJURY", "PLAYER_OUT", to=OUT_WORDS, unless=OUT_WORDS), Rule("INJURY", "PLAYER_RETURNED", to=BACK_WORDS, source=OUT_WORDS),
+    Rule("WEATHER", "WEATHER_CHANGED"), Rule("MARKET", "MARKET_MOVED"), Rule("BULLPEN", "BULLPEN_STATE_CHANGED"),
+    Rule("REST_TRAVEL", "REST_ASYMMETRY", apart="rest_days"),
+    Rule("AVAILABILITY", "PLAYER_OUT", to=("PLAYER_OUT",), unless=("PLAYER_OUT",)),
+    Rule("AVAILABILITY", "PLAYER_RETURNED", to=("PLAYER_RETURNED",), unless=("PLAYER_RETURNED",)),
+)
+APART = 1e-9
+
+
 def delta_rules(kind: Column, old_state: Column, new_state: Column, old: Column, new: Column, had: Column) -> Column:
-    """Change events between two consecutive observations of one kind."""
-    changed = had & ~old.eqNullSafe(new)
-    entered = lambda s: (new_state == s) & ~old_state.eqNullSafe(F.lit(s))
+    """The events of ``RULES`` as an array column."""
     before, after = F.upper(F.coalesce(old, F.lit(""))), F.upper(F.coalesce(new, F.lit("")))
-    moved = lambda k, name: ((kind == k) & changed, name)
-    return _events(
-        ((kind == "STARTER") & entered("VERIFIED"), "STARTER_CONFIRMED"), moved("STARTER", "STARTER_CHANGED"),
-        ((kind == "LINEUP") & entered("PROJECTED"), "LINEUP_PROJECTED"), ((kind == "LINEUP") & entered("VERIFIED"), "LINEUP_CONFIRMED"),
-        ((kind == "INJURY") & after.isin(*OUT_WORDS) & ~before.isin(*OUT_WORDS), "PLAYER_OUT"),
-        ((kind == "INJURY") & after.isin(*BACK_WORDS) & before.isin(*OUT_WORDS), "PLAYER_RETURNED"),
-        moved("WEATHER", "WEATHER_CHANGED"), moved("MARKET", "MARKET_MOVED"), moved("BULLPEN", "BULLPEN_STATE_CHANGED"),
-        ((kind == "AVAILABILITY") & (after == "PLAYER_OUT") & (before != "PLAYER_OUT"), "PLAYER_OUT"),
-        ((kind == "AVAILABILITY") & (after == "PLAYER_RETURNED") & (before != "PLAYER_RETURNED"), "PLAYER_RETURNED"),
-    )
+
+    def side(name: str, of: str) -> Column:
+        text = F.get_json_object(new, f"$.{name}.{of}")
+        return F.when(text.isNull(), F.lit(0.0)).otherwise(text.try_cast("double"))
+
+    def holds(rule: Rule) -> Column:
+        if rule.state:
+            return (new_state == rule.state) & ~old_state.eqNullSafe(F.lit(rule.state))
+        if rule.to:
+            return after.isin(*rule.to) & (before.isin(*rule.source) if rule.source else F.lit(True)) & ~before.isin(*rule.unless or ("\0",))
+        if rule.apart:
+            return F.abs(side("home", rule.apart) - side("away", rule.apart)) > APART
+        return had & ~old.eqNullSafe(new)
+
+    return _events(*[((kind == rule.kind) & holds(rule), rule.event) for rule in RULES])
+
+
+def row_events(kind: str, old: tuple | None, state: str | None, value: str | None) -> list[str]:
+    """The events of ``RULES`` for one observation in a stream; ``old`` is the (state, value) before it, or None."""
+    before, after = ("" if old is None or old[1] is None else old[1].upper()), ("" if value is None else value.upper())
+
+    def side(document: object, name: str, of: str) -> float:
+        part = document.get(name) if isinstance(document, dict) else None
+        found = part.get(of) if isinstance(part, dict) else None
+        if isinstance(found, bool):
+            raise ValueError("not a number")
+        return 0.0 if found is None else float(found)
+
+    def holds(rule: Rule) -> bool:
+        if rule.state:
+            return state == rule.state and (old is None or old[0] != rule.state)
+        if rule.to:
+            return after in rule.to and (not rule.source or before in rule.source) and before not in rule.unless
+        if rule.apart:
+            try:
+                document = json.loads(value or "")
+                return abs(side(document, "home", rule.apart) - side(document, "away", rule.apart)) > APART
+            except (ValueError, TypeError):
+                return False
+        return old is not None and old[1] != value
+
+    return list(dict.fromkeys(rule.event for rule in RULES if rule.kind == kind and holds(rule)))
 
 
 def delta_events(observations: DataFrame, tie: str = "event_id") -> DataFrame:

@@ -238,6 +238,43 @@ def replay_step(experts: Sequence[str], keys: Sequence[str], cfg: Routing, class
     return step
 
 
+#: One resolved game of a replay's history; vectors of several experts are flat.
+HISTORY = "loss array<double>, output array<double>, score double, raw array<double>, mix array<double>, actual long"
+
+
+def split_state(state: dict) -> tuple[list[tuple], dict]:
+    """A replay's state as rows of resolved games, oldest first, and the settings beside them.
+
+    Histories end with the same game; shorter ones have no entry for the oldest rows.
+    """
+    n, bank, final = len(state["scores"]), state["bank"], state["final"]
+    at = lambda values, i: values[i - n + len(values)] if i >= n - len(values) else None
+    flat = lambda vectors: None if any(v is None for v in vectors) else [float(x) for v in vectors for x in v]
+    rows = [
+        (
+            at(state["losses"], i), flat([*(at(state["outputs"], i) or [None])]), state["scores"][i], flat([at(b["p"], i) for b in bank]),
+            at(final["p"], i), at(final["y"], i),
+        )
+        for i in range(n)
+    ]
+    kept = lambda t: {k: t[k] for k in ("t", "accepted", "rejected")}
+    return rows, {"previous": state["previous"], "final": kept(final), "bank": [kept(b) for b in bank]}
+
+
+def joined_state(rows: list[tuple], settings: dict) -> dict:
+    """The state that ``split_state`` took apart."""
+    losses, outputs, scores, raws, mixes, actuals = ([x for x in column if x is not None] for column in zip(*rows))
+    k = len(settings["bank"])
+    cut = lambda flat: [list(flat[j * (len(flat) // k):(j + 1) * (len(flat) // k)]) for j in range(k)]
+    apart = [cut(r) for r in raws]
+    actuals = [int(y) for y in actuals]
+    return {
+        "losses": [list(x) for x in losses], "outputs": [cut(o) for o in outputs], "scores": scores, "previous": settings["previous"],
+        "final": settings["final"] | {"p": [list(m) for m in mixes], "y": actuals},
+        "bank": [t | {"p": [a[j] for a in apart], "y": actuals} for j, t in enumerate(settings["bank"])],
+    }
+
+
 def replay(
     df: DataFrame, experts: Sequence[str], keys: Sequence[str] = ("league",), features: Sequence[str] = (), cfg: Routing = Routing(), classes: int = 3
 ) -> DataFrame:
