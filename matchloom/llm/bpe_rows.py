@@ -19,17 +19,36 @@ from .common import plain, trim_worker, whole_text
 #: worker keeps. They bound memory and change no result.
 SLICE_CHARS, DECODE_ROWS, MEMO_WORDS = 4_000_000, 500_000, 400_000
 
-#: One recursion step contracts each word at its pairs of least rank, from left to right, each second one where they overlap.
-#: ``seg`` is a word or a part of one that no merge leaves, ``pos`` the place of a token's first byte. ``rivals`` lists the tokens
-#: beside which the merged token would form a pair of lower rank than its own: a word's contractions end behind the first
-#: pair with a rival at hand, so that the rows are those of contracting the leftmost least pair one at a time.
+#: One recursion step contracts each word at its leftmost pair of least rank, until no word has a pair with a rank. ``seg`` is a
+#: word or a part of one that no merge leaves, ``pos`` the place of a token's first byte; rank and place stand in one number.
 ENCODE = """
 WITH RECURSIVE tokens(seg, pos, id, live) AS (
   SELECT seg, pos, id, true FROM start
   UNION ALL
   SELECT * FROM (
-    WITH pairs AS NOT MATERIALIZED (
-      SELECT seg, pos, id, place, CASE WHEN seg = next_seg THEN merged END AS merged, rivals, before, behind
+    WITH pairs AS MATERIALIZED (
+      SELECT seg, pos, id, before, CASE WHEN seg = next_seg THEN merged END AS merged
+      FROM (
+        SELECT seg, pos, id, lead(id) OVER line AS following, lead(seg) OVER line AS next_seg, lag(pos) OVER line AS before
+        FROM tokens WHERE live WINDOW line AS (ORDER BY pos))
+      LEFT JOIN merges ON id = first AND following = second),
+    least AS (SELECT seg, min((merged::BIGINT << 40) | pos) AS best FROM pairs WHERE merged IS NOT NULL GROUP BY seg)
+    SELECT p.seg, pos, CASE WHEN best & 1099511627775 = pos THEN (best >> 40)::INTEGER ELSE id END, best IS NOT NULL
+    FROM pairs p LEFT JOIN least l ON p.seg = l.seg WHERE best IS NULL OR before IS DISTINCT FROM (best & 1099511627775)))
+SELECT pos, id FROM tokens WHERE NOT live ORDER BY pos
+"""
+
+#: For words of more bytes than ``LONG_WORD``: a step contracts a word at all its pairs of least rank, from left to right, each
+#: second one where they overlap. ``rivals`` lists the tokens beside which the merged token would form a pair of lower rank than
+#: its own: a word's contractions end behind the first pair with a rival at hand, so the result is that of ``ENCODE``.
+LONG_WORD = 64
+ENCODE_LONG = """
+WITH RECURSIVE tokens(seg, pos, id, live) AS (
+  SELECT seg, pos, id, true FROM start
+  UNION ALL
+  SELECT * FROM (
+    WITH pairs AS MATERIALIZED (
+      SELECT seg, pos, id, place, CASE WHEN seg = next_seg THEN merged END AS merged, before, behind
       FROM (
         SELECT seg, pos, id, lead(id) OVER line AS following, lead(seg) OVER line AS next_seg, lag(id) OVER line AS before,
                lead(id, 2) OVER line AS behind, row_number() OVER line AS place
@@ -38,9 +57,8 @@ WITH RECURSIVE tokens(seg, pos, id, live) AS (
     least AS (SELECT seg, min(merged) AS best, min(place) AS base FROM pairs WHERE merged IS NOT NULL GROUP BY seg),
     hits AS (
       SELECT p.*, best, base, coalesce(merged = best, false) AS hit,
-             CASE WHEN rivals IS NOT NULL AND merged = best
-                  THEN list_contains(rivals, before) OR list_contains(rivals, behind) OR list_contains(rivals, merged) END AS rivalled
-      FROM pairs p LEFT JOIN least l ON p.seg = l.seg),
+             merged = best AND (list_contains(tokens, before) OR list_contains(tokens, behind) OR list_contains(tokens, merged)) AS rivalled
+      FROM pairs p LEFT JOIN least l ON p.seg = l.seg LEFT JOIN rivals r ON r.id = merged AND merged = best),
     runs AS (
       SELECT *, coalesce(max(CASE WHEN NOT hit THEN place END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS calm,
              coalesce(max(CASE WHEN rivalled THEN place END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), 0) AS stop,
@@ -112,17 +130,28 @@ class Codec:
             within[pair[:-1] * 256 + pair[1:]] = True
         self.within, self.memo = within, {}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
-        self._table("merges", first=first, second=second, merged=made, rivals=[sorted(rivals[i]) if i in rivals else None for i in made.tolist()])
+        self._table("merges", first=first, second=second, merged=made)
+        self._table("rivals", id=pa.array(list(rivals), pa.int32()), tokens=pa.array([sorted(v) for v in rivals.values()], pa.list_(pa.int32())))
         spelling = ["".join(chr(256 + b) for b in t) for t in tokens]
         self._table("vocabulary", id=np.arange(len(tokens), dtype=np.int32), spelling=spelling)
 
     def _table(self, name: str, **columns) -> None:
-        self.db.register("given", pa.table({k: pa.array(v) for k, v in columns.items()}))
+        self.db.register("given", pa.table({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()}))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
     def contract(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words that are not tokens themselves, by the recursive query over their bytes."""
+        """Ids of words that are not tokens themselves, by the recursive queries over their bytes."""
+        out: list[bytes] = [b""] * len(words)
+        for query, places in (
+            (ENCODE, [i for i, w in enumerate(words) if len(w) <= LONG_WORD]), (ENCODE_LONG, [i for i, w in enumerate(words) if len(w) > LONG_WORD])
+        ):
+            if places:
+                for i, ids in zip(places, self._contract([words[i] for i in places], query)):
+                    out[i] = ids
+        return out
+
+    def _contract(self, words: list[bytes], query: str) -> list[bytes]:
         flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
         starts = np.cumsum([0, *map(len, words)])
         cut = np.ones(len(flat), bool)
@@ -130,7 +159,7 @@ class Codec:
         cut[1:] = ~self.within[flat[:-1] * 256 + flat[1:]]
         cut[starts[:-1]] = True
         self.db.register("start", pa.table({"seg": pa.array(np.cumsum(cut)), "pos": pa.array(np.arange(len(flat))), "id": pa.array(self.base[flat])}))
-        found = self.db.execute(ENCODE).fetchnumpy()
+        found = self.db.execute(query).fetchnumpy()
         self.db.unregister("start")
         at = np.searchsorted(found["pos"], starts)
         ids = found["id"].astype("<u4").tobytes()

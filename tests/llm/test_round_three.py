@@ -142,8 +142,10 @@ def plain_contraction(word, ranks):
         parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
 
-def test_contraction_order_with_rivals():
-    """Vocabularies in which a merge may form a pair of lower rank than its own."""
+@pytest.mark.parametrize("long_word", [0, 20, 64])
+def test_contraction_order_with_rivals(monkeypatch, long_word):
+    """Vocabularies in which a merge may form a pair of lower rank than its own, by the query for long words and the other."""
+    monkeypatch.setattr(bpe_rows, "LONG_WORD", long_word)
     rng = random.Random(9)
     for _ in range(25):
         longer = list({bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 6))) for _ in range(30)})
