@@ -225,11 +225,8 @@ class Ratings(InOrder):
             if team not in touched:
                 touched[team] = self.teams.getValue((team,)) if self.teams.containsKey((team,)) else (rule.start, number)
             value, since = touched[team]
-            # A rating untouched for several season changes makes up for each of them.
-            for _ in range(number - since if rule.keep is not None else 0):
-                value = rule.start + rule.keep * (value - rule.start)
-            touched[team] = (value, number)
-            return value
+            touched[team] = (rating.carried(rule, value, number - since), number)
+            return touched[team][0]
 
         for row in rows.itertuples(index=False):
             if year is not None and row.season != year:

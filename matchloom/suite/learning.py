@@ -12,7 +12,7 @@ from matchloom.plans.durable import spool
 from matchloom.sources import adapters
 from matchloom.sources.adapters import with_views
 from matchloom.suite.history import _r, rounded
-from matchloom.suite.reports import NORM, P3, PICK, bundle_sql
+from matchloom.suite.reports import NORM, P3, PICK, SCORED_SQL, bundle_sql
 from matchloom.suite.scores import experts_sql
 
 EXPERTS = ["expert_0", "expert_1", "expert_2"]
@@ -143,6 +143,37 @@ def _slices_sql():
       {bundle_sql('sl', 'league, slice')} SELECT league, slice, rows, {r5} FROM met"""
 
 
+def _ratings_sql(names, columns, tail="", views=""):
+    """The rating recursion game by game: a league's ratings travel as a list in the order of its teams."""
+    rules = ", ".join(
+        f"('{n}', {r.k}E0, {r.home}E0, {r.start}E0, {1.0 if r.keep is None else r.keep}E0, '{r.multiplier}')" for n, r in ((n, rating.RULES[n]) for n in names)
+    )
+    factor = (
+        "CASE multiplier WHEN 'log_margin' THEN 1 + 0.35E0 * ln(1 + margin) WHEN 'margin_over_gap' THEN ln(1 + greatest(1, margin)) * 2.2E0 / (0.001E0 * abs(gap) + 2.2E0) ELSE 1 END"
+    )
+    won = "CASE WHEN home_score > away_score THEN 1E0 WHEN home_score = away_score AND multiplier <> 'margin_over_gap' THEN 0.5E0 ELSE 0E0 END"
+    return with_views(f"""{views}, rules(rule, k, side, start, keep, multiplier) AS MATERIALIZED (VALUES {rules}),
+      teams AS (SELECT league, team, row_number() OVER (PARTITION BY league ORDER BY team) AS place FROM (SELECT league, home AS team FROM matches UNION SELECT league, away FROM matches)),
+      games AS MATERIALIZED (SELECT m.*, h.place AS hp, a.place AS ap, row_number() OVER (PARTITION BY m.league ORDER BY datetime, game_id) AS n,
+          dense_rank() OVER (PARTITION BY m.league ORDER BY year(datetime)) AS season, CAST(abs(home_score - away_score) AS DOUBLE) AS margin
+        FROM matches m JOIN teams h ON h.league = m.league AND h.team = home JOIN teams a ON a.league = m.league AND a.team = away),
+      run(rule, league, n, season, game_id, elo_home, elo_away, elo_expected, ratings) AS (
+        SELECT rule, league, CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(NULL AS BIGINT), 0E0, 0E0, 0E0, list(start ORDER BY place) FROM teams, rules GROUP BY rule, league
+        UNION ALL
+        SELECT rule, league, n, season, game_id, elo_home, elo_away, elo_expected,
+          CASE WHEN training_included THEN list_transform(held, lambda x, i: x + CASE i WHEN hp THEN change WHEN ap THEN -change ELSE 0E0 END) ELSE held END
+        FROM (SELECT *, k * {factor} * ({won} - elo_expected) AS change
+          FROM (SELECT *, 1 / (1 + power(10E0, -gap / 400)) AS elo_expected
+            FROM (SELECT *, held[hp] AS elo_home, held[ap] AS elo_away, held[hp] + side - held[ap] AS gap
+              FROM (SELECT rule, league, g.n, g.season, g.game_id, hp, ap, margin, home_score, away_score, training_included, k, side, multiplier,
+                  CASE WHEN g.season > r.season THEN list_transform(ratings, lambda x: start + keep * (x - start)) ELSE ratings END AS held
+                FROM run r JOIN games g USING (league) JOIN rules USING (rule) WHERE g.n = r.n + 1)))))
+      SELECT {columns} FROM run {tail or "WHERE n > 0"}""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+RATED = ", ".join(_r(c, c) for c in ("elo_home", "elo_away", "elo_expected"))
+
+
 def elo_main(spark, d):
     """Sequential rating per league; checked against a plain loop in the tests."""
     return rounded(rating.ratings(adapters.matches(spark, d)), ["league", "game_id"], ["elo_home", "elo_away", "elo_expected"])
@@ -178,6 +209,27 @@ def league_bundle(spark, d):
     return rounded(out, ["season", "league", "games"], ["elo_accuracy", "top4_rate", "low_high_accuracy"])
 
 
+def _report_sql():
+    hit = "CAST((elo_expected > 0.5E0) = (home_score > away_score) AS DOUBLE)"
+    base = "avg(CAST(home_score > away_score AS DOUBLE))"
+    return _ratings_sql(
+        ["main", "baseline"],
+        f"run.league, rule, count(*) AS samples, {_r(f'avg({hit})', 'accuracy')}, {_r(base, 'base_rate')}, {_r(f'avg({hit}) - {base}', 'improvement')}",
+        "JOIN matches USING (game_id) WHERE n > 0 GROUP BY run.league, rule",
+    )
+
+
+def _bundle_sql():
+    calls = {
+        "elo_accuracy": "avg(CAST((elo_expected >= 0.5E0) = (actual = 0) AS DOUBLE))", "top4_rate": "avg(top4_hit)",
+        "low_high_accuracy": "avg(CAST(CAST(high >= 0.5E0 AS DOUBLE) = actual_high AS DOUBLE))",
+    }
+    return _ratings_sql(
+        ["main"], f"year(datetime) AS season, run.league, count(*) AS games, {', '.join(_r(x, n) for n, x in calls.items())}",
+        "JOIN scored USING (game_id) WHERE n > 0 GROUP BY year(datetime), run.league", SCORED_SQL,
+    )
+
+
 def routing_replay(spark, d):
     out = routing.replay(adapters.experts(spark, d), EXPERTS, features=FEATURES)
     flat = out.withColumns({f"routed_{i}": F.col("routed")[i] for i in range(3)} | {f"weight_{i}": F.col("weights")[i] for i in range(3)})
@@ -197,5 +249,6 @@ QUERIES = {
 }
 ORACLES = {
     "output_drift": _output_sql(), "feature_drift": _feature_sql(), "expert_decay_loss": _decay_sql(), "conformal_sets": _conformal_sql(), "recency_weights": RECENCY_SQL,
-    "chrono_split": SPLIT_SQL, "drift_slices": _slices_sql(),
+    "chrono_split": SPLIT_SQL, "drift_slices": _slices_sql(), "elo_main": _ratings_sql(["main"], f"league, game_id, {RATED}"),
+    "elo_variants": _ratings_sql(["margin", "three_way", "baseline"], f"league, game_id, rule, {RATED}"), "elo_report": _report_sql(), "league_bundle": _bundle_sql(),
 }

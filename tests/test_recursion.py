@@ -41,6 +41,35 @@ def test_elo_equals_loop(spark, games, limit):
         assert tuple(got.loc[gid, ["elo_home", "elo_away", "elo_expected"]]) == pytest.approx(want, abs=1e-6)
 
 
+def seasons_of_teams(spark, per_season=60, seasons=8, stay=0):
+    """Every season has its own teams, but for ``stay`` that play on."""
+    import random
+
+    rng, out = random.Random(4), []
+    for y in range(seasons):
+        teams = [f"all{k}" for k in range(stay)] + [f"s{y}t{k}" for k in range(6 - stay)]
+        for g in range(per_season):
+            h, a = rng.sample(teams, 2)
+            out.append(("L", y * per_season + g, f"{2000 + y + y // 3}-0{1 + g * 9 // per_season}-01 00:00:00", h, a, rng.randrange(6), rng.randrange(6), rng.random() < 0.8))
+    df = spark.createDataFrame(out, "league string, game_id long, datetime string, home string, away string, home_score long, away_score long, training_included boolean")
+    return df.withColumn("datetime", F.to_timestamp("datetime"))
+
+
+@pytest.mark.parametrize("stay", [0, 1, 6])
+def test_runs_per_slice_are_bounded(spark, stay):
+    """Teams that stop hand nothing on: two runs a slice at most; with teams that play on for ever, three."""
+    games = seasons_of_teams(spark, stay=stay).cache()
+    spark.conf.set(GROUP_LIMIT_CONF, "30")
+    try:
+        log = []
+        got = rating.ratings(games, log=log).toPandas().set_index("game_id")
+    finally:
+        spark.conf.unset(GROUP_LIMIT_CONF)
+    for gid, want in loop_elo(games.toPandas()).items():
+        assert tuple(got.loc[gid, ["elo_home", "elo_away", "elo_expected"]]) == pytest.approx(want, abs=1e-6)
+    assert log[0] >= 12 and sum(log) <= (2 if stay == 0 else 3) * log[0], log
+
+
 def test_draw_model_uses_no_result(spark, games):
     got = rating.ratings(games, "three_way").toPandas()
     assert np.allclose(got.p_home + got.p_draw + got.p_away, 1.0) and (got.p_draw <= 0.28).all()
