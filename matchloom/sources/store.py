@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.plans.durable import spool
+from matchloom.plans.durable import measured
 from matchloom.plans.ordered import latest_per_key
 from matchloom.sources.readers import path_exists
 
@@ -25,16 +28,48 @@ class TableStore:
         return path_exists(self.spark, self.path(layer, dataset))
 
     def write(self, df: DataFrame, layer: str, dataset: str, mode: str = "overwrite", partition: Sequence[str] = ()) -> None:
-        """Overwriting a partitioned table replaces only the partitions that arrive."""
+        """Overwriting a partitioned table replaces only the partitions that arrive; merged tables change by ``merge_into``."""
+        if self.versioned(layer, dataset):
+            raise ValueError(f"{layer}/{dataset} is kept in versions: use merge_into")
         writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*partition) if partition else writer).parquet(self.path(layer, dataset))
 
     def read(self, layer: str, dataset: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(layer, dataset))
-
-    def drop_partition(self, layer: str, dataset: str, partition: str, value: object) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(layer, dataset)}/{partition}={value}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        if not self.versioned(layer, dataset):
+            return self.spark.read.parquet(self.path(layer, dataset))
+        places = self.manifest(layer, dataset)
+        commits = [r[0] for r in places.select("_commit").distinct().collect()]  # commits that still hold a partition
+        if not commits:
+            return self.spark.read.parquet(f"{self.path(layer, dataset)}/data").limit(0)
+        files = [self.spark.read.parquet(f"{self.path(layer, dataset)}/data/{c}").withColumn("_commit", F.lit(c)) for c in commits]
+        rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), files)
+        partition = next(c for c in places.columns if not c.startswith("_"))
+        live = measured(places.select(F.col(partition).alias("_place"), F.col("_commit").alias("_held"), F.lit(True).alias("_live")))
+        return rows.join(live, (F.col("_commit") == F.col("_held")) & F.col(partition).eqNullSafe(F.col("_place")), "left_semi").drop("_commit")
+
+    def versioned(self, layer: str, dataset: str) -> bool:
+        return path_exists(self.spark, f"{self.path(layer, dataset)}/manifest/_version=*/*.parquet")
+
+    def manifest(self, layer: str, dataset: str) -> DataFrame:
+        """(partition value, _commit, _version) of the latest version: which commit holds each partition."""
+        every = self.spark.read.parquet(f"{self.path(layer, dataset)}/manifest")
+        return every.filter(F.col("_version") == every.agg(F.max("_version")).first()[0])
+
+    def commit(self, rows: DataFrame, layer: str, dataset: str, partition: str, kept: DataFrame | None, version: int) -> None:
+        """Write ``rows`` beside the table, then switch: the next version's manifest is one file, and a reader sees it or the last one.
+
+        ``kept`` is what stays of the last manifest. A writer that stops between the two steps leaves the table as it was;
+        two writers of one version cannot both succeed.
+        """
+        name = uuid.uuid4().hex
+        rows.sortWithinPartitions(partition).write.parquet(f"{self.path(layer, dataset)}/data/{name}")
+        written = self.spark.read.schema(rows.schema).parquet(f"{self.path(layer, dataset)}/data/{name}")
+        held = written.select(partition).distinct().withColumn("_commit", F.lit(name))
+        places = held if kept is None else kept.select(partition, "_commit").unionByName(held)
+        self.switch(places, layer, dataset, version)
+
+    def switch(self, places: DataFrame, layer: str, dataset: str, version: int) -> None:
+        places.coalesce(1).write.mode("error").parquet(f"{self.path(layer, dataset)}/manifest/_version={version}")
 
     def row_count(self, layer: str, dataset: str) -> int:
         return self.read(layer, dataset).count()
@@ -74,21 +109,27 @@ def merge_latest(base: DataFrame, delta: DataFrame, keys: Sequence[str], order:
 
 
 def merge_into(store: TableStore, layer: str, dataset: str, delta: DataFrame, keys: Sequence[str], order: Sequence[str], partition: str) -> None:
-    """Merge a delta into a partitioned table, rewriting only the partitions that hold the delta's keys before or after.
+    """Merge a delta into a table kept in versions, rewriting only the partitions that hold the delta's keys before or after.
 
-    A key whose partition value changes leaves its old partition; a partition left without rows is removed.
+    A key whose partition value changes leaves its old partition. Null partition values and keys are values like others, and
+    values are never part of a folder's name. Readers see the table before or after the merge (``TableStore.commit``).
+    A table written without versions is taken over whole. The manifest holds one row per partition.
     """
     if not store.exists(layer, dataset):
-        store.write(latest_per_key(delta, list(keys), list(order)), layer, dataset, partition=[partition])
+        store.commit(latest_per_key(delta, list(keys), list(order)), layer, dataset, partition, None, 1)
         return
     present = store.read(layer, dataset)
-    before = spool(present.join(delta.select(*keys).distinct(), list(keys), "left_semi").select(partition).distinct(), "merge-parts")
-    touched = before.union(delta.select(partition)).distinct()
-    merged = spool(merge_latest(present.join(touched, partition, "left_semi"), delta, keys, order), "merge")
-    emptied = [r[0] for r in before.join(merged.select(partition).distinct(), partition, "left_anti").collect()]  # partitions, not rows
-    store.write(merged, layer, dataset, partition=[partition])
-    for value in emptied:
-        store.drop_partition(layer, dataset, partition, value)
+    if not store.versioned(layer, dataset):
+        store.commit(merge_latest(present, delta, keys, order), layer, dataset, partition, None, 1)
+        return
+    last = store.manifest(layer, dataset)
+    arriving = delta.select(*(F.col(k).alias(f"_of_{k}") for k in keys)).distinct()
+    known = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    before = present.join(arriving, known, "left_semi").select(partition)
+    touched = measured(before.unionByName(delta.select(partition)).distinct().select(F.col(partition).alias("_touched")))
+    inside = F.col(partition).eqNullSafe(F.col("_touched"))
+    merged = merge_latest(present.join(touched, inside, "left_semi"), delta, keys, order)
+    store.commit(merged, layer, dataset, partition, last.join(touched, inside, "left_anti"), last.first()["_version"] + 1 if not last.isEmpty() else 1)
 
 
 def expected_chunks(spark: SparkSession, start: str, end: str, days: int) -> DataFrame:

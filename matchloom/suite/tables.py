@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import text
 from matchloom.operators import form, harmonise, joins
+from matchloom.plans.durable import fresh_path
 from matchloom.plans.ordered import Timeline, latest_per_key
 from matchloom.sources import adapters, readers, store
 from matchloom.sources.adapters import with_views
@@ -491,7 +492,10 @@ def delta_merge(spark, d):
     base = g.filter(F.col("datetime") < F.lit("2000-01-01").cast("timestamp_ntz"))
     cut = store.delta_cutoff(base, "datetime", F.lit("1999-03-01").cast("timestamp_ntz"))
     delta = g.filter(F.col("datetime") >= cut).withColumn("home_score", F.col("home_score") + 100)
-    return store.merge_latest(base, delta, ["game_id"], ["datetime"]).select("game_id", "home_score", "away_score")
+    kept, year = store.TableStore(spark, fresh_path(spark, "store")), F.year("datetime")
+    for part in (base, delta):
+        store.merge_into(kept, "silver", "games", part.withColumn("season", year), ["game_id"], ["datetime"], "season")
+    return kept.read("silver", "games").select("game_id", "home_score", "away_score")
 
 
 DELTA_SQL = with_views(

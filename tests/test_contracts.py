@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import dist, prob, text
 from matchloom.operators import calibrate, context, form, harmonise, joins, reports, scorelines, stages
 from matchloom.sources import readers, store
-from matchloom.streaming import live
+from matchloom.streaming import held, live
 
 
 def one(df):
@@ -161,7 +161,10 @@ def test_rating_stream_over_batches_equals_batch(spark, games, tmp_path):
         part = ordered.iloc[i * 60:(i + 1) * 60]
         spark.createDataFrame(part, games.schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(games.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    got = rows_of(live.run_available(live.rating_stream(stream), "elo"), ["game_id"])
+    clock = held.Clock(spark)
+    out = held.run_available(live.rating_stream(stream, clock=clock), "elo", clock)
+    assert live.late_count(out).first()["late_rows"] == 0
+    got = rows_of(live.on_time(out), ["game_id"])
     want = rows_of(rating.ratings(games), ["game_id"])
     assert got.elo_home.tolist() == pytest.approx(want.elo_home.tolist(), abs=1e-9)
     assert set(got.game_id) == set(want.game_id)

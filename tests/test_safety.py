@@ -1,5 +1,6 @@
 """Repeated results, moved keys and repeated records."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import harmonise, joins, reports
@@ -37,3 +38,49 @@ def test_season_schedule_repeats_agree(spark):
 
 def test_team_names(spark):
     assert harmonise.TEAM_ALIASES["\u30e4\u30af\u30eb\u30c8"].startswith("\u6771\u4eac")
+
+
+def contents(store):
+    return sorted((tuple(r) for r in store.read("raw", "odd").select("id", "part", "v").collect()), key=repr)
+
+
+def odd_store(spark):
+    store = TableStore(spark, fresh_path(spark, "store"))
+    frame = lambda rows: spark.createDataFrame(rows, "id long, part string, v long")
+    merge = lambda rows: merge_into(store, "raw", "odd", frame(rows), ["id"], ["v"], "part")
+    return store, merge
+
+
+def test_merge_into_null_and_escaped_partitions(spark):
+    """Partition values that are null, empty or hold signs of paths; keys move between them and nothing else is lost."""
+    store, merge = odd_store(spark)
+    merge([(1, None, 1), (2, "a/b", 1), (3, "x=y%", 1), (4, None, 1), (5, "", 1), (None, "n", 1), (6, "__HIVE_DEFAULT_PARTITION__", 1)])
+    merge([(4, None, 2), (1, "x", 2), (2, "x", 2), (None, "m", 2), (5, None, 2)])
+    assert contents(store) == sorted([(1, "x", 2), (2, "x", 2), (3, "x=y%", 1), (4, None, 2), (5, None, 2), (None, "m", 2), (6, "__HIVE_DEFAULT_PARTITION__", 1)], key=repr)
+    merge([(9, None, 3)])
+    assert (4, None, 2) in contents(store) and (9, None, 3) in contents(store) and len(contents(store)) == 8
+
+
+def test_merge_that_stops_before_the_switch_changes_nothing(spark, monkeypatch):
+    store, merge = odd_store(spark)
+    merge([(1, "a", 1), (2, "b", 1)])
+    before = contents(store)
+    with monkeypatch.context() as m:
+        m.setattr(TableStore, "switch", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError):
+            merge([(1, "b", 2), (3, "c", 2)])
+    assert contents(store) == before
+    merge([(1, "b", 2), (3, "c", 2)])
+    assert contents(store) == [(1, "b", 2), (2, "b", 1), (3, "c", 2)]
+    # A second writer of the same version fails instead of hiding the first one's rows.
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        store.switch(store.manifest("raw", "odd").drop("_version"), "raw", "odd", 2)
+
+
+def test_merge_takes_over_a_plain_table(spark):
+    store, merge = odd_store(spark)
+    store.write(spark.createDataFrame([(1, "a", 1), (2, None, 1)], "id long, part string, v long"), "raw", "odd", partition=["part"])
+    merge([(2, "a", 2)])
+    assert contents(store) == [(1, "a", 1), (2, "a", 2)]
+    with pytest.raises(ValueError):
+        store.write(store.read("raw", "odd"), "raw", "odd")
