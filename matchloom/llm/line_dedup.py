@@ -7,29 +7,29 @@ from pyspark.sql import functions as F
 
 from matchloom.plans.durable import spool
 
-from .common import plain, whole_text
+from .common import plain, spool_small, whole_text
 
 
 def line_windows(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, pos, digest) for each run of ``width`` consecutive lines; a digest is the MD5 of the joined lines."""
-    lines = docs.select("doc_id", F.split(whole_text(), "\n", -1).alias("lines"))
+    """(row, doc_id, pos, digest) for each run of ``width`` consecutive lines; a digest is the MD5 of the joined lines."""
+    lines = docs.select("row", "doc_id", F.split(whole_text(), "\n", -1).alias("lines"))
     starts = F.when(F.size("lines") >= width, F.sequence(F.lit(0), F.size("lines") - width))
     digests = F.transform(starts, lambda i: F.unhex(F.md5(F.array_join(F.slice("lines", i + 1, width), "\n").cast("binary"))))
-    return lines.select("doc_id", F.posexplode(digests).alias("pos", "digest"))
+    return lines.select("row", "doc_id", F.posexplode(digests).alias("pos", "digest"))
 
 
 def repeated_lines(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, covered): the sorted line numbers to remove, for documents that lose lines.
+    """(row, covered): the sorted line numbers to remove, for rows that lose lines.
 
-    The first occurrence of a window by (doc_id, line number) stays; each later one covers its ``width`` lines, and
+    The first occurrence of a window by (doc_id, row, line number) stays; each later one covers its ``width`` lines, and
     overlapping covers merge. Occurrences of a window combine on the map side before they are shuffled.
     """
     windows = line_windows(docs, width)
-    place = F.struct("doc_id", "pos")
+    place = F.struct("doc_id", "row", "pos")
     firsts = windows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = windows.join(spool(firsts, "line-windows"), "digest").filter(place > F.col("first"))
-    covered = later.select("doc_id", F.explode(F.sequence("pos", F.col("pos") + width - 1)).alias("line"))
-    return covered.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("covered"))
+    covered = later.select("row", F.explode(F.sequence("pos", F.col("pos") + width - 1)).alias("line"))
+    return covered.groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("covered"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -37,14 +37,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines end at a line feed; they are compared as they are. Null text is the empty text, which has one empty line.
     Texts of fewer than ``width`` lines have no window and stay whole. Windows of empty lines count like others. A
-    null id sorts before all ids. Rows that repeat an id count as the same document: windows at the same line do not
-    repeat each other, and covered lines are removed from each of the rows. No rows give no rows.
+    null id sorts before all ids. Rows that repeat an id or have none are documents of their own, in the order of a
+    hash of their text; each loses its own lines only, and equal rows lose them but for one. No rows give no rows.
     """
-    rows = plain(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), whole_text(text_col).alias("text"))
-    gone = repeated_lines(rows, width).withColumnRenamed("doc_id", "gone_id")
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").withColumn("lines", F.split("text", "\n", -1))
+    rows = plain(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("doc_id"), whole_text(f"`{text_col}`").alias("text"))
+    # Rows are told apart by a number that is written once; the hash before it makes reruns agree.
+    rows = spool_small(rows.withColumn("row", F.struct(F.xxhash64("text").alias("look"), F.monotonically_increasing_id().alias("number"))), "numbered-lines")
+    gone = repeated_lines(rows, width)
+    joined = rows.join(gone, "row", "left").withColumn("lines", F.split("text", "\n", -1))
     none, n = F.array().cast("array<int>"), F.size("lines")
-    inside = F.filter(F.coalesce("covered", none), lambda i: i < n)
+    inside = F.coalesce("covered", none)
     # Kept lines are the gaps between covered positions.
     gaps = F.zip_with(
         F.concat(F.array(F.lit(-1)), inside), F.concat(inside, F.array(n)),

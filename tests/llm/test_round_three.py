@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from matchloom.llm import bpe_rows, filter_audit, whitening
+from matchloom.llm import bpe_rows, filter_audit, line_dedup, whitening
 
 from test_operators import SCHEMA, as_rows, odd_rows, split
 
@@ -209,3 +209,12 @@ def test_whitening_of_few_vectors(spark):
     # Sums of squares beyond a long are null, not wrapped.
     far = whitening.whitened(spark.createDataFrame([(1, [3e12]), (2, [-3e12]), (3, [1.0])], shape)).collect()
     assert {r["vec_id"]: r["deviation"] for r in far}[1] is None and {r["vec_id"]: r["deviation"] for r in far}[3] is not None
+
+
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    """Rows that repeat an id, or have none, lose their own repeated lines and no others; equal rows lose them but for one."""
+    rows = [(7, "h1\nh2\nh3\nbody"), (7, "only p\nonly q\nonly r\nonly s"), (1, "h1\nh2\nh3\nfirst"), (None, "n1\nn2\nn3"), (None, "n1\nn2\nn3"), (None, "m1\nm2\nm3\nm4"), (9, "e1\ne2\ne3"), (9, "e1\ne2\ne3")]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(
+        [(7, "body"), (7, rows[1][1]), (1, rows[2][1]), (None, "n1\nn2\nn3"), (None, ""), (None, "m1\nm2\nm3\nm4"), (9, "e1\ne2\ne3"), (9, "")])
+    assert sum(r["n_removed"] for r in out) == 9
