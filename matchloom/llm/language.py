@@ -155,6 +155,15 @@ class Identifier:
     spread: np.ndarray | None = None
     limit: float = float("inf")
 
+    def parts(self) -> tuple:
+        """Plain lists, arrays and numbers, which a broadcast carries to workers that have no copy of this package."""
+        return [(m.grams, m.backs, m.floor) for m in self.models], self.languages, self.beta, self.typical, self.spread, self.limit
+
+    @classmethod
+    def of(cls, parts: tuple) -> Identifier:
+        models, languages, *rest = parts
+        return cls(languages, [Model(*m) for m in models], *rest)
+
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text under each language, and the texts' numbers of characters."""
         codes, first, kept = stream(texts)
@@ -235,14 +244,15 @@ def train(docs: DataFrame, max_chars: int = MAX_CHARS, max_docs: int = MAX_DOCS)
     languages = sorted(counts["lang"].unique())
     by = dict(list(counts.groupby("lang")))
     known = Identifier(languages, [fit(by[lang]) for lang in languages])
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = docs.sparkSession.sparkContext.broadcast(known.parts())
 
     def measure(batches):
+        judge = Identifier.of(shared.value)
         for batch in batches:
             frame = batch.to_pandas()
             for low in range(0, len(frame), 128):
                 part = frame.iloc[low:low + 128]
-                entropies, n = shared.value.entropies(list(part["text"]))
+                entropies, n = judge.entropies(list(part["text"]))
                 yield pa.RecordBatch.from_pydict({"lang": pa.array(part["lang"], pa.string()), "h": pa.array(list(entropies), pa.list_(pa.float64())), "n": pa.array(n, pa.int64())})
 
     trial = sample.filter("part = 0").select("lang", "text").mapInArrow(measure, "lang string, h array<double>, n long").filter("n > 0").toPandas()
@@ -282,12 +292,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = plain(docs, id_col, text_col, lang_col).select(
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")
     )
-    shared = docs.sparkSession.sparkContext.broadcast(known or train(rows))
+    shared = docs.sparkSession.sparkContext.broadcast((known or train(rows)).parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Identifier.of(shared.value)
         for batch in batches:
             for texts, part in _slices(batch, 1):
-                said, score, odd = shared.value.judge(texts)
+                said, score, odd = judge.judge(texts)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(said, pa.string()), pa.array(score, pa.float64()), pa.array(odd, pa.bool_())],
                     names=["doc_id", "held_out", "lang_pred", "score", "rejected"],
@@ -300,13 +311,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_known(docs: DataFrame, known: Identifier | None = None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``identify`` does not reject, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(known or train(plain(docs, "doc_id", "text", "lang")))
+    shared = docs.sparkSession.sparkContext.broadcast((known or train(plain(docs, "doc_id", "text", "lang"))).parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Identifier.of(shared.value)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for texts, part in _slices(batch, at):
-                yield part.filter(pa.array(~shared.value.judge(texts)[2]))
+                yield part.filter(pa.array(~judge.judge(texts)[2]))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from matchloom.llm import bpe_rows, filter_audit, line_dedup, whitening
+from matchloom.llm import bpe_rows, filter_audit, language, line_dedup, whitening
 
 from test_operators import SCHEMA, as_rows, odd_rows, split
 
@@ -218,3 +218,18 @@ def test_line_dedup_tells_rows_of_one_id_apart(spark):
     assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(
         [(7, "body"), (7, rows[1][1]), (1, rows[2][1]), (None, "n1\nn2\nn3"), (None, ""), (None, "m1\nm2\nm3\nm4"), (9, "e1\ne2\ne3"), (9, "")])
     assert sum(r["n_removed"] for r in out) == 9
+
+
+def test_language_models_reach_workers_without_the_package(spark, docs):
+    """What is broadcast unpickles where this package cannot be imported."""
+    import pickle
+    import subprocess
+    import sys
+
+    known = language.train(docs.select("doc_id", "text", "lang"))
+    data = pickle.dumps(known.parts())
+    code = "import pickle, sys; assert not [m for m in sys.modules if 'matchloom' in m]; x = pickle.load(sys.stdin.buffer); print(len(x[1]))"
+    out = subprocess.run([sys.executable, "-I", "-c", code], input=data, capture_output=True, check=True, cwd="/")
+    assert int(out.stdout) == len(known.languages) > 1
+    texts = [r[1] for r in odd_rows()]
+    assert [list(map(str, x)) for x in language.Identifier.of(pickle.loads(data)).judge(texts)] == [list(map(str, x)) for x in known.judge(texts)]
