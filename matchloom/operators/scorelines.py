@@ -292,3 +292,28 @@ def rest_travel(rows: DataFrame, coordinates: DataFrame) -> DataFrame:
             "state": F.when(known, "VERIFIED").otherwise("UNKNOWN"),
         }
     ).drop("_us", "_prev_us", "_prev_venue", "_lat", "_lon", "_plat", "_plon")
+
+
+SIDE = ("rest_days", "games_3d", "games_7d", "travel_miles", "state")
+
+
+def rest_travel_games(sides: DataFrame) -> DataFrame:
+    """One row per game from the rows of ``rest_travel``: ``game_id, home, away`` (structs) and ``state``.
+
+    VERIFIED needs both sides, PARTIAL has one, UNKNOWN none. A side without a row is unknown.
+    """
+    of = lambda is_home: F.max(F.when(F.col("is_home") == is_home, F.struct(*SIDE)))
+    wide = sides.groupBy("game_id").agg(of(True).alias("home"), of(False).alias("away"))
+    known = sum((F.coalesce((F.col(f"{s}.state") == "VERIFIED").cast("int"), F.lit(0)) for s in ("home", "away")), F.lit(0))
+    return wide.withColumn("state", F.when(known == 2, "VERIFIED").when(known == 1, "PARTIAL").otherwise("UNKNOWN"))
+
+
+def rest_observations(games: DataFrame, when: str = "datetime", tie: str = "event_id") -> DataFrame:
+    """REST_TRAVEL observations of the VERIFIED games, known at ``when``; ``delta_events`` derives REST_ASYMMETRY from them.
+
+    ``games`` has game_id, home, away, state, ``when`` and ``tie``. The value is JSON of both sides.
+    """
+    return games.filter("state = 'VERIFIED'").select(
+        tie, "game_id", F.col(when).alias("available_at"), F.col(when).alias("prediction_time"), F.lit("REST_TRAVEL").alias("kind"), "state",
+        F.to_json(F.struct("home", "away")).alias("value"),
+    )

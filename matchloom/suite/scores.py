@@ -7,7 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from matchloom.functions import dist, prob
-from matchloom.operators import form, scorelines
+from matchloom.operators import context, form, scorelines
+from matchloom.plans.durable import spool
 from matchloom.sources import adapters, store
 from matchloom.sources.adapters import with_views
 from matchloom.suite.history import _r, rounded
@@ -293,6 +294,31 @@ def rest_travel(spark, d):
     return rounded(out, ["game_id", "team", "state", "games_3d", "games_7d"], ["rest_days", "travel_miles"], 4)
 
 
+def rest_travel_games(spark, d):
+    """Both sides of a game, its state, and whether a REST_ASYMMETRY event follows from it."""
+    g = adapters.matches(spark, d)
+    rows = form.team_rows(g).join(g.select("game_id", "venue"), "game_id")
+    games = spool(scorelines.rest_travel_games(scorelines.rest_travel(rows, _venues(spark).filter("venue <> 'V5'"))), "rest-games")
+    timed = games.join(g.select("game_id", F.col("datetime").cast("timestamp").alias("datetime")), "game_id").withColumn("event_id", F.col("game_id"))
+    events = context.delta_events(scorelines.rest_observations(timed)).select("game_id", "event")
+    out = games.join(events, "game_id", "left").select(
+        "game_id", "state", "event", F.col("home.games_7d").alias("home_games_7d"), F.col("away.games_7d").alias("away_games_7d"),
+        F.col("home.rest_days").alias("home_rest"), F.col("away.rest_days").alias("away_rest"), F.col("home.travel_miles").alias("home_miles"), F.col("away.travel_miles").alias("away_miles"),
+    )
+    return rounded(out, ["game_id", "state", "event", "home_games_7d", "away_games_7d"], ["home_rest", "away_rest", "home_miles", "away_miles"], 4)
+
+
+def _travel_games_sql():
+    sides = _travel_sql()
+    cut = sides.rindex("SELECT k.game_id")
+    inner = sides[cut:].replace("SELECT k.game_id, k.team,", "SELECT k.game_id, k.is_home,")
+    return sides[:cut].rstrip() + f""", sd AS MATERIALIZED ({inner})
+        SELECT h.game_id, CASE WHEN h.state = 'VERIFIED' AND a.state = 'VERIFIED' THEN 'VERIFIED' WHEN h.state = 'VERIFIED' OR a.state = 'VERIFIED' THEN 'PARTIAL' ELSE 'UNKNOWN' END AS state,
+          CASE WHEN h.state = 'VERIFIED' AND a.state = 'VERIFIED' AND h.rest_days <> a.rest_days THEN 'REST_ASYMMETRY' END AS event, h.games_7d AS home_games_7d, a.games_7d AS away_games_7d,
+          h.rest_days AS home_rest, a.rest_days AS away_rest, h.travel_miles AS home_miles, a.travel_miles AS away_miles
+        FROM (SELECT * FROM sd WHERE is_home) h JOIN (SELECT * FROM sd WHERE NOT is_home) a USING (game_id)"""
+
+
 def _travel_sql():
     hav = "3958.7613E0 * 2 * asin(sqrt(power(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * power(sin(radians(c.lon - p.lon) / 2), 2)))"
     cnt = lambda n: f"count(*) OVER (PARTITION BY t.league, t.team ORDER BY t.datetime RANGE BETWEEN INTERVAL {n} DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
@@ -311,10 +337,10 @@ def _travel_sql():
 QUERIES = {
     "top4_scores": top4_scores, "top_cells": top_cells, "low_high_modes": low_high_modes, "bivariate_grid": bivariate_grid, "candidate_contract": candidate_contract,
     "mom_top3": mom_top3, "model_weights": model_weights, "recent_tail": recent_tail, "history_cap": history_cap, "vector_algebra": vector_algebra,
-    "case_risk": case_risk, "matchup_prior": matchup, "rest_travel": rest_travel,
+    "case_risk": case_risk, "matchup_prior": matchup, "rest_travel": rest_travel, "rest_travel_games": rest_travel_games,
 }
 ORACLES = {
     "top4_scores": TOP4_SQL, "top_cells": CELLS21_SQL, "low_high_modes": _low_high_sql(), "bivariate_grid": BIVARIATE_SQL, "candidate_contract": CONTRACT_SQL,
     "mom_top3": _mom_sql(), "model_weights": WEIGHTS_SQL, "recent_tail": TAIL_SQL, "history_cap": CAP_SQL, "vector_algebra": _algebra_sql(), "case_risk": _risk_sql(),
-    "matchup_prior": _matchup_sql(), "rest_travel": _travel_sql(),
+    "matchup_prior": _matchup_sql(), "rest_travel": _travel_sql(), "rest_travel_games": _travel_games_sql(),
 }

@@ -504,6 +504,26 @@ DELTA_SQL = with_views(
 )
 
 
+def snapshot_quarantine(spark, d):
+    """Observations written as snapshot lines, some of them broken, without a game or of an old version; both sides counted."""
+    o = adapters.observations(spark, d)
+    stamp = F.date_format("prediction_time", "yyyy-MM-dd HH:mm:ss")
+    game = F.when(F.col("event_id") % 11 != 3, F.col("game_id").cast("string"))
+    line = F.to_json(F.struct(game.alias("game_id"), stamp.alias("prediction_time_utc"), F.array(F.struct("kind", "state", "value")).alias("observations"), F.when(F.col("event_id") % 13 == 5, 2).alias("schema_version")))
+    source, sink = fresh_path(spark, "lines"), fresh_path(spark, "quarantine")
+    o.select(F.when(F.col("event_id") % 7 == 2, F.substring_index(line, "}]", 1)).otherwise(line).alias("value")).write.text(source)
+    good = readers.snapshots_or_quarantine(spark, source, sink)
+    kept = readers.observations_of(good).groupBy(F.lit("GOOD").alias("reason")).agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("kind").alias("kinds"))
+    bad = spark.read.parquet(sink).filter("file is not null and content is not null")
+    return kept.unionByName(bad.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"), F.lit(None).cast("long").alias("kinds")))
+
+
+QUARANTINE_SQL = with_views(
+    """, l AS (SELECT kind, CASE WHEN event_id % 7 = 2 THEN 'CORRUPT' WHEN event_id % 11 = 3 THEN 'INCOMPLETE' WHEN event_id % 13 = 5 THEN 'STALE' ELSE 'GOOD' END AS reason FROM observations)
+    SELECT reason, count(*) AS lines, CASE WHEN reason = 'GOOD' THEN count(DISTINCT kind) END AS kinds FROM l GROUP BY reason"""
+)
+
+
 def chunk_completeness(spark, d):
     o = T(spark, d, "orders", "o_orderkey", "o_orderdate")
     week = F.date_add(F.lit("1995-01-01").cast("date"), (F.floor(F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")) / 7) * 7).cast("int"))
@@ -570,7 +590,7 @@ QUERIES = {
     "prior_snapshot": prior_snapshot, "reconcile_full_outer": reconcile_full_outer, "two_source_validation": two_source_validation,
     "starter_repair": starter_repair, "coverage_upsert": coverage_upsert, "roster_notices": roster_notices, "exact_equality": exact_equality,
     "lineup_join": lineup_join, "enriched_game": enriched_game, "dedup_latest": dedup_latest, "schema_union": schema_union, "plan_coverage": plan_coverage,
-    "key_sets": key_sets, "shard_merge": shard_merge, "delta_merge": delta_merge, "chunk_completeness": chunk_completeness,
+    "key_sets": key_sets, "shard_merge": shard_merge, "delta_merge": delta_merge, "snapshot_quarantine": snapshot_quarantine, "chunk_completeness": chunk_completeness,
     "resume_selection": resume_selection, "material_change": material_change, "boxscore_starter": boxscore_starter, "text_lines": text_lines,
 }
 ORACLES = {
@@ -586,6 +606,6 @@ ORACLES = {
     "settlement_join": SETTLE_SQL, "hourly_join": HOURLY_SQL, "nearest_hour_join": NEAREST_SQL, "asof_snapshot": ASOF_SQL, "canonical_snapshot": CANONICAL_SQL,
     "prior_snapshot": PRIOR_SQL, "reconcile_full_outer": RECONCILE_SQL, "two_source_validation": TWO_SQL, "starter_repair": REPAIR_SQL,
     "coverage_upsert": UPSERT_SQL, "roster_notices": ROSTER_SQL, "exact_equality": EQUALITY_SQL, "lineup_join": _lineup_sql(), "enriched_game": _enriched_sql(),
-    "dedup_latest": DEDUP_SQL, "schema_union": UNION_SQL, "plan_coverage": PLAN_SQL, "key_sets": KEY_SQL, "shard_merge": SHARD_SQL, "delta_merge": DELTA_SQL,
+    "dedup_latest": DEDUP_SQL, "schema_union": UNION_SQL, "plan_coverage": PLAN_SQL, "key_sets": KEY_SQL, "shard_merge": SHARD_SQL, "delta_merge": DELTA_SQL, "snapshot_quarantine": QUARANTINE_SQL,
     "chunk_completeness": CHUNK_SQL, "resume_selection": RESUME_SQL, "material_change": CHANGE_SQL, "boxscore_starter": BOX_SQL, "text_lines": LINES_SQL,
 }

@@ -84,3 +84,39 @@ def test_merge_takes_over_a_plain_table(spark):
     assert contents(store) == [(1, "a", 1), (2, "a", 2)]
     with pytest.raises(ValueError):
         store.write(store.read("raw", "odd"), "raw", "odd")
+
+
+def test_quarantine_keeps_every_bad_line(spark, tmp_path):
+    """Broken, incomplete and stale lines go aside with their file; good ones are read; empty files give nothing."""
+    from matchloom.sources import readers
+
+    good = '{"game_id":"g1","prediction_time_utc":"2024-01-01 00:00:00","observations":[{"kind":"STARTER"}]}'
+    lines = [good, good.replace("g1", "g2"), '{"game_id":"g3","prediction', '{"prediction_time_utc":"2024-01-01"}', good.replace('"obs', '"schema_version":2,"obs'), "word"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join(lines))
+    (tmp_path / "in" / "b.jsonl").write_text("")
+    sink = str(tmp_path / "bad")
+    kept = readers.snapshots_or_quarantine(spark, str(tmp_path / "in"), sink)
+    assert sorted(r["game_id"] for r in kept.collect()) == ["g1", "g2"]
+    bad = spark.read.parquet(sink).collect()
+    assert sorted(r["reason"] for r in bad) == ["CORRUPT", "CORRUPT", "INCOMPLETE", "STALE"] and all(r["file"].endswith("a.jsonl") and r["content"] for r in bad)
+    # The same files of version 2: only that line is good.
+    assert [r["game_id"] for r in readers.snapshots_or_quarantine(spark, str(tmp_path / "in"), sink, 2).collect()] == ["g1"]
+
+
+def test_rest_state_of_both_sides(spark):
+    """Strictly before the game; one side without history is PARTIAL, none UNKNOWN; asymmetry only where both are known."""
+    from matchloom.operators import context, form, scorelines
+
+    rows = [(1, "2024-09-20", "A", "B"), (2, "2024-09-23", "A", "C"), (3, "2024-09-25", "A", "B"), (4, "2024-09-25", "D", "E"), (5, "2024-09-27", "A", "B")]
+    games = spark.createDataFrame([(i, "L", t + " 18:00:00", h, a, 1, 0, "V1", True) for i, t, h, a in rows], "game_id long, league string, datetime string, home string, away string, home_score long, away_score long, venue string, training_included boolean")
+    games = games.withColumn("datetime", F.to_timestamp("datetime"))
+    sides = form.team_rows(games).join(games.select("game_id", "venue"), "game_id")
+    places = spark.createDataFrame([("V1", 1.0, 2.0)], "venue string, lat double, lon double")
+    both = scorelines.rest_travel_games(scorelines.rest_travel(sides, places))
+    got = {r["game_id"]: r for r in both.collect()}
+    assert {i: r["state"] for i, r in got.items()} == {1: "UNKNOWN", 2: "PARTIAL", 3: "VERIFIED", 4: "UNKNOWN", 5: "VERIFIED"}
+    assert got[3]["home"]["rest_days"] == 2 and got[3]["away"]["rest_days"] == 5 and got[3]["home"]["games_3d"] == 1 and got[3]["home"]["games_7d"] == 2
+    timed = both.join(games.select("game_id", "datetime"), "game_id").withColumn("event_id", F.col("game_id"))
+    events = context.delta_events(scorelines.rest_observations(timed)).collect()
+    assert [(r["game_id"], r["event"]) for r in events] == [(3, "REST_ASYMMETRY")]
