@@ -386,8 +386,21 @@ def integrated_gate(routing: DataFrame, effects: DataFrame, replay: DataFrame) -
 PROMOTION = {"min_rows": 200, "min_relative_gain": 0.01, "logloss": 0.005, "brier": 0.005, "accuracy": 0.005, "ece": 0.010, "high_state": 0.010}
 
 
-def promotion_gate(metrics: DataFrame, key: str, baseline: str, candidate: str) -> DataFrame:
-    """Promotion checks of a candidate's metric row against the baseline's, one row per check."""
+# Evidence without which nothing is promoted.
+REQUIRED = (
+    "oos", "two_validation_windows", "calibration_check", "no_future_target_data", "reproducible_candidate", "matchday_pit_snapshots",
+    "two_late_routing_windows", "rollback_on_regression",
+)
+
+
+def promotion_gate(
+    metrics: DataFrame, key: str, baseline: str, candidate: str, high_state: DataFrame | None = None, evidence: DataFrame | None = None
+) -> DataFrame:
+    """Promotion checks of a candidate's metric row against the baseline's, one row (check, passed) per entry of the gate.
+
+    ``high_state`` has the same metrics over the rows of high drift or uncertainty. ``evidence`` has boolean columns named in
+    ``REQUIRED``; each must hold in all of its rows. What is missing or null fails.
+    """
     at = lambda m, v: F.max(F.when(F.col(key) == v, F.col(m)))
     d = lambda m: at(m, candidate) - at(m, baseline)
     gain = -d("logloss") / F.greatest(at("logloss", baseline), F.lit(1e-12))
@@ -396,5 +409,13 @@ def promotion_gate(metrics: DataFrame, key: str, baseline: str, candidate: str)
         "logloss": d("logloss") <= PROMOTION["logloss"], "brier": d("brier") <= PROMOTION["brier"],
         "accuracy": d("accuracy") >= -PROMOTION["accuracy"], "ece": d("ece") <= PROMOTION["ece"],
     }
-    one = metrics.agg(F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in checks.items()]).alias("checks"))
-    return one.select(F.explode("checks").alias("c")).select("c.check", "c.passed")
+
+    def rows_of(df: DataFrame | None, of: dict[str, Column]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in of.items()])
+        one = metrics.limit(0).agg(pairs.alias("checks")) if df is None else df.agg(pairs.alias("checks"))
+        return one.select(F.explode("checks").alias("c")).select("c.check", "c.passed")
+
+    high = {"high_state": F.lit(False) if high_state is None else d("logloss") <= PROMOTION["high_state"]}
+    have = evidence.columns if evidence is not None else []
+    shown = {n: F.bool_and(F.coalesce(F.col(n), F.lit(False))) if n in have else F.lit(False) for n in REQUIRED}
+    return rows_of(metrics, checks).unionByName(rows_of(high_state, high)).unionByName(rows_of(evidence, shown))

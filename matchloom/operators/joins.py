@@ -195,16 +195,33 @@ def lineup_array(json: Column, cap: int = 12) -> Column:
     return F.transform(F.slice(F.array_sort(keyed), 1, cap), lambda k: k["x"])
 
 
-def lineup_features(lineups: DataFrame, profiles: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """PA-weighted lineup means and coverage per (game, side).
+# What a lineup is taken to be when a game has none.
+LINEUP_NEUTRAL = {
+    "avg": 0.25, "obp": 0.32, "slg": 0.38, "iso": 0.13, "bb_rate": 0.08, "so_rate": 0.20, "sb_rate": 0.02, "bunt_rate": 0.02, "power_rate": 0.05,
+    "contact_rate": 0.70, "gidp_rate": 0.03, "groundout_rate": 0.20, "flyout_rate": 0.20, "lineout_rate": 0.08, "errors_rate": 0.0,
+    "recent_iso": 0.13, "recent_so_rate": 0.20, "recent_bb_rate": 0.08, "recent_sb_rate": 0.02,
+}
+LINEUP_SUMS = {"power_sum": "power_rate", "speed_sum": "sb_rate", "bunt_sum": "bunt_rate", "contact_sum": "contact_rate", "gdp_sum": "gidp_rate"}
 
-    ``lineups`` has (game_id, side, player_id); ``profiles`` the batter profile as of each game.
+
+def lineup_features(lineups: DataFrame, profiles: DataFrame, games: DataFrame | None = None) -> DataFrame:
+    """PA-weighted means of 19 metrics, five sums, size and coverage of each lineup (game_id, side), in one aggregate.
+
+    ``lineups`` has (game_id, side, player_id); ``profiles`` the batter profile (pp_ columns) as of each game. A player
+    without a profile counts in ``lineup_n`` alone. With ``games`` (game_id, side) a game without a lineup has the
+    neutral values, and sums and counts of zero; a lineup without a single profile has neutral means too.
     """
-    joined = lineups.join(profiles, ["game_id", "player_id"], "left")
+    profile = profiles.select("game_id", "player_id", "pp_pa", "pp_games", *(f"pp_{m}" for m in LINEUP_NEUTRAL))
+    joined = lineups.join(profile, ["game_id", "player_id"], "left")
     weight = F.greatest(F.coalesce(F.col("pp_pa"), F.lit(0.0)), F.lit(1.0))
     known = F.coalesce(F.col("pp_games"), F.lit(0.0)) > 0
-    return joined.groupBy("game_id", "side").agg(
-        *[(F.sum(F.col(m) * weight) / F.sum(F.when(F.col(m).isNotNull(), weight))).alias(f"lineup_{m[3:]}") for m in metrics],
+    mean = lambda m: F.sum(F.col(f"pp_{m}") * weight) / F.sum(F.when(F.col(f"pp_{m}").isNotNull(), weight))
+    out = joined.groupBy("game_id", "side").agg(
+        *[mean(m).alias(f"lineup_{m}") for m in LINEUP_NEUTRAL], *[F.sum(f"pp_{m}").alias(f"lineup_{name}") for name, m in LINEUP_SUMS.items()],
         F.count(F.lit(1)).cast("double").alias("lineup_n"), F.count_if(known).cast("double").alias("lineup_known_n"),
         (F.count_if(known) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("lineup_history_coverage"),
     )
+    if games is not None:
+        out = games.select("game_id", "side").join(out, ["game_id", "side"], "left")
+    absent = {f"lineup_{m}": v for m, v in LINEUP_NEUTRAL.items()} | {f"lineup_{c}": 0.0 for c in (*LINEUP_SUMS, "n", "known_n", "history_coverage")}
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in absent.items()})

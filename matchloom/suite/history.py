@@ -360,18 +360,20 @@ def player_profile(spark, d):
     return rounded(df, ["game_id", "player_id"], names)
 
 
-def _player_sql():
+def _player_sql(more=(), recent_of=("pa", "iso")):
+    """``more`` names rates whose counters the given lines lack: zero with history, a prior without."""
     w = "PARTITION BY league, player_id ORDER BY datetime, game_id"
     rates = {
         "avg": "h / GREATEST(ab, 1)", "obp": "(h + bb) / GREATEST(ab + bb, 1)", "slg": "(h + doubles + 3 * hr) / GREATEST(ab, 1)",
         "iso": "GREATEST((h + doubles + 3 * hr) / GREATEST(ab, 1) - h / GREATEST(ab, 1), 0)", "bb_rate": "bb / GREATEST(pa, 1)", "so_rate": "so / GREATEST(pa, 1)", "pa": "pa",
     }
+    rates |= {m: "0" for m in more}
     packed = ", ".join(f"'{n}': ({e})::DOUBLE" for n, e in rates.items())
     wt = "exp((i - len(xs)) / 12.0E0)"
     dec = lambda m: f"list_sum(list_transform(xs, lambda r, i: r.{m} * {wt})) / list_sum(list_transform(xs, lambda r, i: {wt}))"
-    prior = {"avg": 0.25, "obp": 0.32, "slg": 0.38, "iso": 0.13, "bb_rate": 0.08, "so_rate": 0.2}
+    prior = {"avg": 0.25, "obp": 0.32, "slg": 0.38, "iso": 0.13, "bb_rate": 0.08, "so_rate": 0.2} | {m: form.PLAYER_PRIOR[m] for m in more}
     out = ", ".join(_r(f"COALESCE({dec(m)}, {v})", f"pp_{m}") for m, v in prior.items())
-    rec = ", ".join(_r(f"COALESCE(list_avg(list_transform(xs[-5:], lambda r: r.{m})), {v})", f"pp_recent_{m}") for m, v in (("pa", 0), ("iso", 0.13)))
+    rec = ", ".join(_r(f"COALESCE(list_avg(list_transform(xs[-5:], lambda r: r.{m})), {v})", f"pp_recent_{m}") for m, v in ((m, form.PLAYER_PRIOR[m]) for m in recent_of))
     return with_views(
         f""", {PLAYER_SQL}, p AS (SELECT g.*, m.league, m.datetime, m.training_included AS eligible FROM player_games g JOIN matches m ON m.game_id = g.game_id),
         {ELIGIBLE.format(w=w, src="p")}, st AS (SELECT league, player_id, idx, list({{{packed}}}) OVER ({w} ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS xs FROM live)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import prob
@@ -270,17 +271,31 @@ def promotion_gate(spark, d):
     from matchloom.operators import reports
 
     e = _p(spark, d)
-    long = e.select("actual", F.explode(F.array(F.struct(F.lit("base").alias("v"), F.col("p").alias("q")), F.struct(F.lit("expert_0").alias("v"), F.col("expert_0").alias("q")))).alias("x")).select("actual", "x.v", "x.q")
-    return context.promotion_gate(reports.metric_bundle(long, ["v"], "q"), "v", "base", "expert_0")
+    pair = F.explode(F.array(F.struct(F.lit("base").alias("v"), F.col("p").alias("q")), F.struct(F.lit("expert_0").alias("v"), F.col("expert_0").alias("q"))))
+    long = e.select("actual", F.col("p").alias("before"), pair.alias("x")).select("actual", "before", "x.v", "x.q")
+    # Uncertain games: the baseline's favourite lies below 45 %.
+    high = long.filter(F.array_max("before") < 0.45)
+    evidence = e.select(
+        F.col("actual").isNotNull().alias("oos"), (F.count(F.lit(1)).over(Window.partitionBy("league")) >= 200).alias("two_validation_windows"),
+        F.abs(F.expr("aggregate(p, 0D, (a, x) -> a + x)") - 1).__lt__(1e-9).alias("calibration_check"),
+    )
+    bundle = lambda rows: reports.metric_bundle(rows, ["v"], "q")
+    return context.promotion_gate(bundle(long), "v", "base", "expert_0", bundle(high), evidence)
 
 
 def _promotion_sql():
     from matchloom.suite.scores import experts_sql
 
+    mass = "(pred_home + pred_draw + pred_away)"
+    held = ", ".join(f"'{n}'" for n in context.REQUIRED)
+    shown = ", ".join("(SELECT bool_and(n >= 200) FROM size)" if n == "two_validation_windows" else "true" if n in ("oos", "calibration_check") else "false" for n in context.REQUIRED)
     return with_views(
-        experts_sql() + f""", lg AS (SELECT 'base' AS v, actual, pred_home / (pred_home + pred_draw + pred_away) AS p0, pred_draw / (pred_home + pred_draw + pred_away) AS p1, pred_away / (pred_home + pred_draw + pred_away) AS p2 FROM experts
-          UNION ALL SELECT 'cand', actual, e0_0, e0_1, e0_2 FROM experts), {bundle_sql('lg', 'v')}, b AS (SELECT * FROM met WHERE v = 'base'), c AS (SELECT * FROM met WHERE v = 'cand')
-        SELECT unnest(['min_rows', 'relative_gain', 'logloss', 'brier', 'accuracy', 'ece']) AS check, unnest([c.rows >= 200, (b.logloss - c.logloss) / b.logloss >= 0.01, c.logloss - b.logloss <= 0.005, c.brier - b.brier <= 0.005, c.accuracy - b.accuracy >= -0.005, c.ece - b.ece <= 0.01]) AS passed FROM b, c"""
+        experts_sql() + f""", lg AS (SELECT 'base' AS v, actual, pred_home / {mass} AS p0, pred_draw / {mass} AS p1, pred_away / {mass} AS p2, GREATEST(pred_home, pred_draw, pred_away) / {mass} AS top FROM experts
+          UNION ALL SELECT 'cand', actual, e0_0, e0_1, e0_2, GREATEST(pred_home, pred_draw, pred_away) / {mass} FROM experts), {bundle_sql('lg', 'v')}, b AS (SELECT * FROM met WHERE v = 'base'), c AS (SELECT * FROM met WHERE v = 'cand'),
+        hs AS (SELECT avg(-ln(GREATEST(CASE actual WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 1e-12))) FILTER (WHERE v = 'cand') - avg(-ln(GREATEST(CASE actual WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 1e-12))) FILTER (WHERE v = 'base') AS gap FROM lg WHERE top < 0.45),
+        size AS (SELECT league, count(*) AS n FROM experts GROUP BY league)
+        SELECT unnest(['min_rows', 'relative_gain', 'logloss', 'brier', 'accuracy', 'ece']) AS check, unnest([c.rows >= 200, (b.logloss - c.logloss) / b.logloss >= 0.01, c.logloss - b.logloss <= 0.005, c.brier - b.brier <= 0.005, c.accuracy - b.accuracy >= -0.005, c.ece - b.ece <= 0.01]) AS passed FROM b, c
+        UNION ALL SELECT 'high_state', gap <= 0.01 FROM hs UNION ALL SELECT unnest([{held}]), unnest([{shown}])"""
     )
 
 

@@ -374,28 +374,31 @@ def lineup_join(spark, d):
     js = ordered.groupBy("game_id").agg(F.to_json(F.collect_list(F.struct("player_id", "batting_order"))).alias("lineup_json"))
     lineup = js.select("game_id", F.lit("home").alias("side"), F.explode(joins.lineup_array(F.col("lineup_json"))).alias("x"))
     lineup = lineup.select("game_id", "side", F.col("x.player_id").cast("long").alias("player_id"))
-    out = joins.lineup_features(lineup, prof, ["pp_avg", "pp_obp", "pp_so_rate", "pp_recent_iso"])
-    return rounded(out, ["game_id"], ["lineup_avg", "lineup_obp", "lineup_so_rate", "lineup_recent_iso", "lineup_n", "lineup_known_n", "lineup_history_coverage"])
+    out = joins.lineup_features(lineup, prof, games.select("game_id", F.lit("home").alias("side")))
+    return rounded(out, ["game_id"], [f"lineup_{c}" for c in (*joins.LINEUP_NEUTRAL, *joins.LINEUP_SUMS, "n", "known_n", "history_coverage")])
 
 
 def _lineup_sql():
-    from matchloom.suite.history import PLAYER_SQL, _player_sql
+    from matchloom.suite.history import _player_sql
 
-    inner = _player_sql().replace("pp_games", "pp_games", 1)
+    counted = ("avg", "obp", "slg", "iso", "bb_rate", "so_rate")
+    more = [m for m in joins.LINEUP_NEUTRAL if m not in counted and not m.startswith("recent_")]
+    inner = _player_sql(more, ("pa", "iso", "so_rate", "bb_rate", "sb_rate"))
     head, tail = inner.rsplit("SELECT s.game_id, s.player_id", 1)
     wt = "exp((i - len(xs)) / 12.0E0)"
     pa = f"COALESCE(list_sum(list_transform(xs, lambda r, i: r.pa * {wt})) / list_sum(list_transform(xs, lambda r, i: {wt})), 0)"
     # Profiles are recomputed unrounded for the weights.
     raw = "SELECT s.game_id, s.player_id" + tail
     raw = raw.replace("ROUND(CAST(", "((").replace(" AS DOUBLE) + 1e-9, 6)", "))")
-    ms = ("avg", "obp", "so_rate", "recent_iso")
     w = "GREATEST(pp_pa, 1)"
-    out = ", ".join(_r(f"sum(pp_{m} * {w}) / sum({w})", f"lineup_{m}") for m in ms)
+    out = ", ".join(_r(f"COALESCE(sum(pp_{m} * {w}) / sum(CASE WHEN pp_{m} IS NOT NULL THEN {w} END), {v})", f"lineup_{m}") for m, v in joins.LINEUP_NEUTRAL.items())
+    sums = ", ".join(_r(f"COALESCE(sum(pp_{m}), 0)", f"lineup_{name}") for name, m in joins.LINEUP_SUMS.items())
+    known = "count(*) FILTER (WHERE pp_games > 0)"
     return (
         head + f", prof AS ({raw.replace('SELECT s.game_id, s.player_id,', f'SELECT s.game_id, s.player_id, {pa} AS pp_pa,', 1)}), "
         "ln AS (SELECT game_id, player_id, row_number() OVER (PARTITION BY game_id ORDER BY player_id % 9, CAST(player_id AS VARCHAR)) AS rn FROM player_games) "
-        f"SELECT ln.game_id, {out}, {_r('count(*)', 'lineup_n')}, {_r('count(*) FILTER (WHERE pp_games > 0)', 'lineup_known_n')}, "
-        f"{_r('count(*) FILTER (WHERE pp_games > 0) / count(*)', 'lineup_history_coverage')} FROM ln JOIN prof p ON p.game_id = ln.game_id AND p.player_id = ln.player_id WHERE rn <= 12 GROUP BY ln.game_id"
+        f"SELECT m.game_id, {out}, {sums}, {_r('count(ln.player_id)', 'lineup_n')}, {_r(known, 'lineup_known_n')}, {_r(f'{known} / GREATEST(count(ln.player_id), 1)', 'lineup_history_coverage')} "
+        "FROM matches m LEFT JOIN ln ON ln.game_id = m.game_id AND rn <= 12 LEFT JOIN prof p ON p.game_id = ln.game_id AND p.player_id = ln.player_id GROUP BY m.game_id"
     )
 
 

@@ -120,3 +120,34 @@ def test_rest_state_of_both_sides(spark):
     timed = both.join(games.select("game_id", "datetime"), "game_id").withColumn("event_id", F.col("game_id"))
     events = context.delta_events(scorelines.rest_observations(timed)).collect()
     assert [(r["game_id"], r["event"]) for r in events] == [(3, "REST_ASYMMETRY")]
+
+
+def test_lineup_without_players_is_neutral(spark):
+    from matchloom.operators.joins import LINEUP_NEUTRAL, LINEUP_SUMS, lineup_features
+
+    metrics = ", ".join(f"pp_{m} double" for m in LINEUP_NEUTRAL)
+    profiles = spark.createDataFrame([(1, 10, 3.0, 2.0, *[0.5] * 19), (1, 11, 0.0, 0.0, *[0.1] * 19)], f"game_id long, player_id long, pp_pa double, pp_games double, {metrics}")
+    lineups = spark.createDataFrame([(1, "home", 10), (1, "home", 11), (1, "home", 12), (2, "away", 99)], "game_id long, side string, player_id long")
+    games = spark.createDataFrame([(1, "home"), (1, "away"), (2, "away")], "game_id long, side string")
+    got = {(r["game_id"], r["side"]): r for r in lineup_features(lineups, profiles, games).collect()}
+    one = got[1, "home"]
+    assert one["lineup_avg"] == pytest.approx((0.5 * 3 + 0.1) / 4) and one["lineup_n"] == 3 and one["lineup_known_n"] == 1 and one["lineup_speed_sum"] == pytest.approx(0.6)
+    for place, n in (((1, "away"), 0), ((2, "away"), 1)):
+        row = got[place]
+        assert {m: row[f"lineup_{m}"] for m in LINEUP_NEUTRAL} == LINEUP_NEUTRAL
+        assert row["lineup_n"] == n and all(row[f"lineup_{c}"] == 0 for c in (*LINEUP_SUMS, "known_n", "history_coverage"))
+
+
+def test_promotion_fails_closed(spark):
+    from matchloom.operators import context
+
+    metrics = spark.createDataFrame([("a", 300, 1.0, 0.6, 0.5, 0.05), ("b", 300, 0.9, 0.5, 0.6, 0.04)], "v string, rows long, logloss double, brier double, accuracy double, ece double")
+    passed = lambda *more: {r["check"]: r["passed"] for r in context.promotion_gate(metrics, "v", "a", "b", *more).collect()}
+    bare = passed()
+    assert len(bare) == 15 and all(bare[c] for c in ("min_rows", "relative_gain", "logloss", "brier", "accuracy", "ece"))
+    assert not any(bare[c] for c in ("high_state", *context.REQUIRED))
+    worse = metrics.withColumn("logloss", F.when(F.col("v") == "b", 1.02).otherwise(1.0).cast("double"))
+    evidence = spark.createDataFrame([(True, True), (True, None)], "oos boolean, calibration_check boolean")
+    full = passed(worse, evidence)
+    assert not full["high_state"] and full["oos"] and not full["calibration_check"]
+    assert passed(metrics, evidence)["high_state"]
