@@ -90,16 +90,16 @@ def bivariate_grid(spark, d):
 
 
 BIVARIATE_SQL = with_views(
-    f""", lams AS (SELECT DISTINCT lambda_home AS lh, lambda_away AS la FROM predictions), k AS (SELECT range AS k FROM range(7)),
+    f""", scored AS MATERIALIZED (SELECT game_id, lambda_home, lambda_away, actual_home_score, actual_away_score FROM predictions), lams AS MATERIALIZED (SELECT DISTINCT lambda_home AS lh, lambda_away AS la FROM scored), k AS (SELECT range AS k FROM range(7)),
     cells AS MATERIALIZED (SELECT lh, la, h.k AS h, a.k AS a, sum(exp(-(lh - {SHARED}) + (h.k - s.k) * ln(lh - {SHARED}) - lgamma(h.k - s.k + 1))
        * exp(-(la - {SHARED}) + (a.k - s.k) * ln(la - {SHARED}) - lgamma(a.k - s.k + 1)) * exp(-{SHARED}::DOUBLE + s.k * ln({SHARED}::DOUBLE) - lgamma(s.k + 1))) AS p, 0 AS o
        FROM lams, k h, k a, k s WHERE s.k <= LEAST(h.k, a.k) GROUP BY 1, 2, 3, 4),
-    every AS (SELECT * FROM cells UNION ALL SELECT lh, la, 999, 999, GREATEST(1 - sum(p), 0), 1 FROM cells GROUP BY lh, la),
+    every AS MATERIALIZED (SELECT * FROM cells UNION ALL SELECT lh, la, 999, 999, GREATEST(1 - sum(p), 0), 1 FROM cells GROUP BY lh, la),
     nrm AS MATERIALIZED (SELECT lh, la, h, a, o, p / sum(p) OVER (PARTITION BY lh, la) AS p FROM every),
-    best AS (SELECT lh, la, CASE WHEN o = 1 THEN 'OTHER' ELSE h || '-' || a END AS score1 FROM nrm QUALIFY row_number() OVER (PARTITION BY lh, la ORDER BY round(p, 12) DESC, o, h, a) = 1)
+    best AS MATERIALIZED (SELECT lh, la, CASE WHEN o = 1 THEN 'OTHER' ELSE h || '-' || a END AS score1 FROM nrm QUALIFY row_number() OVER (PARTITION BY lh, la ORDER BY round(p, 12) DESC, o, h, a) = 1)
     SELECT game_id, score1, {_r('-ln(GREATEST(n.p, 1e-12))', 'nll')},
       {_r(' + '.join(f"{pois(j, str(SHARED) + '::DOUBLE')} * {cdf(f'lambda_home + lambda_away - {2 * SHARED}', 6 - 2 * j)}" for j in range(4)), 'low')}
-    FROM predictions JOIN best b ON b.lh = lambda_home AND b.la = lambda_away JOIN nrm n ON n.lh = lambda_home AND n.la = lambda_away
+    FROM scored JOIN best b ON b.lh = lambda_home AND b.la = lambda_away JOIN nrm n ON n.lh = lambda_home AND n.la = lambda_away
       AND n.h = CASE WHEN actual_home_score >= 7 OR actual_away_score >= 7 THEN 999 ELSE actual_home_score END
       AND n.a = CASE WHEN actual_home_score >= 7 OR actual_away_score >= 7 THEN 999 ELSE actual_away_score END"""
 )
@@ -272,8 +272,8 @@ def _matchup_sql():
         "," + ELIGIBLE.format(w=W, src="team_rows") + f""", st AS (SELECT league, team, idx, datetime, {st} FROM live),
         f AS MATERIALIZED (SELECT s.game_id, s.is_home, {cols}, COALESCE(GREATEST((epoch_us(s.datetime) - epoch_us(l.datetime)) / 86400000000.0E0, 0), 30) < 2 AS sr
           FROM seen s LEFT JOIN st l ON l.league = s.league AND l.team = s.team AND l.idx = s.before_n),
-        j AS (SELECT h.game_id, LEAST(GREATEST(0.5E0 * (h.gf_10 + a.gf_10 + h.ga_10 + a.ga_10), 0.5), 12) AS env, h.sr::INT - a.sr::INT AS srd, {mean('h', 'gf')} AS ho, {mean('a', 'ga')} AS ad, {mean('a', 'gf')} AS ao, {mean('h', 'ga')} AS hd,
-           h.gf_10 - a.gf_10 AS gd FROM f h JOIN f a ON a.game_id = h.game_id AND h.is_home AND NOT a.is_home),
+        j AS MATERIALIZED (SELECT game_id, LEAST(GREATEST(0.5E0 * (h.gf_10 + a.gf_10 + h.ga_10 + a.ga_10), 0.5), 12) AS env, h.sr::INT - a.sr::INT AS srd, {mean('h', 'gf')} AS ho, {mean('a', 'ga')} AS ad, {mean('a', 'gf')} AS ao, {mean('h', 'ga')} AS hd,
+           h.gf_10 - a.gf_10 AS gd FROM (SELECT * FROM f WHERE is_home) h JOIN (SELECT * FROM f WHERE NOT is_home) a USING (game_id)),
         p AS (SELECT *, LEAST(GREATEST(0.78E0 * (0.48E0 * ho + 0.42E0 * ad + 0.1E0 * env / 2 + 0.025E0 * env) + 0.22E0 * env / 2, 0.25), 12) AS ph,
            LEAST(GREATEST(0.78E0 * (0.48E0 * ao + 0.42E0 * hd + 0.1E0 * env / 2) + 0.22E0 * env / 2, 0.25), 12) AS pa FROM j)
         SELECT game_id, {r5('env', 'expected_env')}, {r5('srd', 'short_rest_diff')}, 0.0E0 AS starter_quality_gap, {r5('ph', 'prior_home')}, {r5('pa', 'prior_away')},
