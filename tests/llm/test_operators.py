@@ -421,16 +421,62 @@ def near_the_limit():
     return table
 
 
-@pytest.mark.parametrize("star_rounds", [4, 0])
-def test_near_dedup_is_jaccard_of_shingles(spark, star_rounds):
+@pytest.mark.parametrize("plan", [{}, {"star_rounds": 0}, {"star_rounds": 0, "few": 1, "block_rows": 2}, {"star_rounds": 1, "few": 2, "block_hashes": 300}])
+def test_near_dedup_is_jaccard_of_shingles(spark, plan):
     table = near_the_limit()
     roots = brute_groups(table)
     want = {min(table[k][0] for k in roots if roots[k] == r) for r in set(roots.values())}
     docs = spark.createDataFrame(table, "doc_id long, text string")
-    got = [r.doc_id for r in near_copies.one_of_each(docs, star_rounds=star_rounds).collect()]
+    got = [r.doc_id for r in near_copies.one_of_each(docs, **plan).collect()]
     assert 60 < len(want) < 360 and sorted(got) == sorted(want)
 
 
+def test_near_copies_of_a_crowd_in_cells(spark):
+    """One crowd of copies changed more and more, most of them below the limit, and a forest no larger than its members."""
+    rng = random.Random(15)
+    base = words(rng, 120).split(" ")
+    table = [(k, " ".join(w if rng.random() > (k % 12) / 60 else f"w{rng.random()}" for w in base)) for k in range(150)]
+    roots = brute_groups(table)
+    want = {min(table[k][0] for k in roots if roots[k] == r) for r in set(roots.values())}
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    assert 5 < len(want) < 145
+    for plan in ({}, {"few": 1, "block_rows": 20}):
+        assert sorted(r.doc_id for r in near_copies.one_of_each(docs, **plan).collect()) == sorted(want)
+    sets = [(k, near_copies.shingle_set(text.encode(), 5).view("int64").tolist()) for k, text in table]
+    crowds = [(7, k, k, 150, sum(len(s) for _, s in sets)) for k, _ in table]
+    links = near_copies.cell_links(
+        spark.createDataFrame(crowds, "key long, node long, root long, n long, hashes long"), spark.createDataFrame(sets, "node long, shingles array<bigint>"), 0.8, 1024, 1 << 20,
+    ).collect()
+    assert len(links) == 150 - len(want)
+
+
+def test_sketches_keep_near_copies():
+    """Of sets with similarities of 0.8 and more none is sifted out, and nearly all pairs of 0.4 are."""
+    rng = np.random.default_rng(16)
+    differing = lambda a, b: sum(int(x >> np.uint64(4 * k) & np.uint64(15)) != 0 for x in near_copies.sketch(a) ^ near_copies.sketch(b) for k in range(15))
+    most = int(120 * (1 - 0.65) * 15 / 16)
+    passed = {}
+    for shared in (160, 80):
+        pairs = [rng.integers(0, 1 << 63, 200 + 200 - shared, np.uint64) for _ in range(60)]
+        least = near_copies.least_values
+        passed[shared] = sum(differing(least(p[:200]), least(p[200 - shared:])) <= most for p in pairs)
+    assert passed[80] == 0
+    assert all(differing(near_copies.least_values(p), near_copies.least_values(p[22:])) <= most for p in (rng.integers(0, 1 << 63, 110, np.uint64) for _ in range(60)))
+
+
+def test_pipeline_stages_with_clashing_columns(spark):
+    """Columns named like working columns come through unchanged."""
+    rng = random.Random(17)
+    names = ["_row", "_copy", "_copies", "copies", "_node", "_size", "_keys", "_sketch", "_word", "c0", "n"]
+    rows = [(k, words(rng, 30), "en", "ab"[k % 2], 1, *(f"{n}{k}" for n in names)) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.source_mix):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.collect()} <= set(rows)
+    assert near_copies.one_of_each(docs).count() == 20
+
+
 def test_source_mix_deals_every_row_its_own_copies(spark):
     """Copies of each row against a plain loop; ids repeat, with one size or several, and many are null."""
     rng, rows = random.Random(12), []
