@@ -477,6 +477,21 @@ def test_pipeline_stages_with_clashing_columns(spark):
     assert near_copies.one_of_each(docs).count() == 20
 
 
+def test_token_files_stage_holds_every_row(spark):
+    """The last stage against the tokenizers library: starts, counts and checksums of all rows, repeated ids included."""
+    rng = random.Random(18)
+    rows = [(k // 2, words(rng, k) if k % 9 else None) for k in range(60)]
+    got = corpus_pipeline.token_files(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = lambda text: np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == sorted((k, len(ids(text)), zlib.crc32(ids(text).tobytes())) for k, text in rows)
+    start = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == start
+        start += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted(k for k, _ in rows)
+
+
 def test_source_mix_deals_every_row_its_own_copies(spark):
     """Copies of each row against a plain loop; ids repeat, with one size or several, and many are null."""
     rng, rows = random.Random(12), []
